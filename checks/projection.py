@@ -261,6 +261,27 @@ QUAD_PARTS = {
         _quad(ORG, "specific_uri", "generiek:isTijdspecialisatieVan", "body_uri", "body_pair"),
     ],
 }
+# Whole document texts as language-tagged literals, and literals of the other datatypes.
+_PART, _ORDER = uri("part", text("p_partkey")), uri("order", text("o_orderkey"))
+_SHOP = "'https://harvester-0.example.org/sparql'"
+QUAD_PARTS["q_document"] = [
+    _quad(_SHOP, uri("document", text("doc_id")), "dct:description", "text", "documents",
+          kind="literal", datatype=f"'{iri('rdf:langString')}'", lang="lang"),
+]
+QUAD_PARTS["q_typed"] = [
+    _quad(_SHOP, _PART, "ext:size", text("p_size"), "part", **_literal(iri("xsd:integer"))),
+    _quad(_SHOP, _PART, "ext:large", "case when p_size > 40 then '1' when p_size > 20 then 'true' else 'false' end",
+          "part", **_literal(iri("xsd:boolean"))),
+    _quad(_SHOP, _PART, "ext:brand", "p_brand", "part", **_literal()),
+    _quad(_SHOP, _PART, "ext:broken", "p_type", "part", **_literal(iri("xsd:int"))),
+    _quad(_SHOP, _PART, "ext:price", text("p_retailprice"), "part", **_literal(iri("xsd:double"))),
+    _quad(_SHOP, _PART, "ext:exact", text("p_retailprice"), "part", **_literal(iri("xsd:decimal"))),
+    _quad(_SHOP, _ORDER, "ext:day", "substring(cast(o_orderdate as varchar(40)), 1, 10)", "orders", **_literal(iri("xsd:date"))),
+    _quad(_SHOP, _ORDER, "ext:at", STAMP.format("o_orderdate"), "orders", **_literal(iri("xsd:dateTime"))),
+    _quad(_SHOP, _ORDER, "ext:node", "concat('_:n', o_orderstatus)", "orders", kind="bnode"),
+    _quad(_SHOP, uri("event", text("event_id")), "ext:clock",
+          "concat(substring(cast(ts as varchar(40)), 12, 8), '.250-05:30')", "events", **_literal(iri("xsd:time"))),
+]
 for _name, _selects in QUAD_PARTS.items():
     PROJECTION[_name] = " union all ".join(_selects)
 
@@ -269,7 +290,7 @@ QUAD_GROUPS = {
     "organisations": ("q_unit", "q_body"),
 }
 
-_REFERENCE = re.compile(r"\{(\w+)\}")
+_REFERENCE = re.compile(r"\{([a-z_]+)\}")
 
 
 class Projection:

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # White space as the source system's runtime defines it (more than Java's \s and
 # not the same set as Unicode White_Space), written as a character class.
@@ -24,7 +25,7 @@ ESCAPES = (
 )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfd(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFD", v), na_action="ignore")
 

@@ -98,8 +98,8 @@ def read_quads(spark: SparkSession, path: str | list[str], harvester: str) -> Da
     return parse_nquads(spark.read.text(path), harvester)
 
 
-def format_nquads(quads: DataFrame) -> DataFrame:
-    """One column ``value`` with the N-Quads text of each row."""
+def statement_text() -> Column:
+    """N-Quads text of a row of quads."""
     node = lambda c: F.when(c.startswith("_:"), c).otherwise(F.concat(F.lit("<"), c, F.lit(">")))
     suffix = (
         F.when(F.col("o_lang").isNotNull(), F.concat(F.lit("@"), F.col("o_lang")))
@@ -108,11 +108,13 @@ def format_nquads(quads: DataFrame) -> DataFrame:
     )
     literal = F.concat(F.lit('"'), escape_literal(F.col("o")), F.lit('"'), suffix)
     term = F.when(F.col("o_kind") == "literal", literal).otherwise(node(F.col("o")))
-    return quads.select(
-        F.concat(
-            F.concat_ws(" ", node(F.col("s")), node(F.col("p")), term, node(F.col("g"))), F.lit(" .")
-        ).alias("value")
-    )
+    terms = F.concat_ws(" ", node(F.col("s")), node(F.col("p")), term, node(F.col("g")))
+    return F.concat(terms, F.lit(" ."))
+
+
+def format_nquads(quads: DataFrame) -> DataFrame:
+    """One column ``value`` with the N-Quads text of each row."""
+    return quads.select(statement_text().alias("value"))
 
 
 def write_nquads(quads: DataFrame, path: str, mode: str = "errorifexists") -> None:
