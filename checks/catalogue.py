@@ -10,6 +10,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 from datetime import date, datetime
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +22,8 @@ from graphreports.operators import harvests, metrics, publications, resources, r
 from graphreports.plans import quads as report_quads
 from graphreports.plans import reports
 from graphreports.plans.queries import query as parameterised
-from graphreports.runtime import configure
-from graphreports.sources import graph, links, nquads
+from graphreports.runtime import configure, ensure_checkpoint_dir
+from graphreports.sources import graph, links, nquads, store
 from graphreports.vocabulary import (
     DAY_OF_WEEK,
     JOB_GRAPH,
@@ -217,10 +218,6 @@ STEPS = {
     """,
 }
 
-FACTS = (
-    "session", "session_item", "item", "item_title", "item_description", "item_doc", "handling_subject",
-    "handling_resolution", "handling_vote", "resolution", "publication", "publication_source", "harvest_run",
-)
 QUAD_COLUMNS = "harvester, g, s, p, o, o_kind, o_datatype, o_lang"
 
 
@@ -234,7 +231,7 @@ def bodies(p: Projection) -> DataFrame:
 
 def nightly(p: Projection) -> reports.Run:
     unit, body = dimension(p)
-    return reports.Run(p.tables(*FACTS), unit, body, DAY, CREATED_AT)
+    return reports.Run(p, unit, body, DAY, CREATED_AT)
 
 
 def _quads_sql(*parts: str) -> str:
@@ -253,20 +250,20 @@ for _name, _function in {
     "count_duplicate_items": metrics.count_duplicate_items,
 }.items():
     register(_name, f"select {_UNIT}, n from ({METRIC_SQL[_name.removeprefix('count_')]})")(
-        lambda p, f=_function: f(p.tables(*FACTS), bodies(p))
+        lambda p, f=_function: f(p, bodies(p))
     )
 
 
 @register("duplicate_titles", _DUPLICATE_TITLES)
 def _(p):
-    t = p.tables(*FACTS)
+    t = p
     items = sessions.unit_items(sessions.unit_sessions(t["session"], bodies(p)), t["session_item"])
     return metrics.duplicate_titles(metrics.started_typed(items, t["item"]), t)
 
 
 @register("unit_metrics", f"select {_UNIT}, metric, n from {{reported_metric}}")
 def _(p):
-    return metrics.unit_metrics(p.tables(*FACTS), bodies(p))
+    return metrics.unit_metrics(p, bodies(p))
 
 
 @register(
@@ -276,7 +273,7 @@ def _(p):
 )
 def _(p):
     unit, body = dimension(p)
-    return metrics.with_zeros(metrics.count_sessions(p.tables(*FACTS), body), unit)
+    return metrics.with_zeros(metrics.count_sessions(p, body), unit)
 
 
 @register(
@@ -574,9 +571,13 @@ def _(p):
 
 @register("quads_roundtrip", f"select {_UNIT}, metric, n from {{reported_metric}}")
 def _(p):
-    """The whole way from quads: dimension, link tables, metrics."""
-    tables = links.link_tables(p.quads("harvested"))
-    organisations = p.quads("organisations")
+    """The whole way from stored quads: dimension, link tables, metrics. The store is a table
+    written to the shared folder, laid out by harvester and predicate."""
+    path = f"{ensure_checkpoint_dir(p.spark)}/quads-{uuid4()}"
+    store.write_quads(p.quads("harvested", "organisations"), path)
+    stored = store.load_quads(p.spark, path)
+    organisations = stored.filter(F.col("harvester") == "organisations")
+    tables = links.link_tables(stored.filter(F.col("harvester") != "organisations"))
     body = units.build_dimension(
         units.clean_units(units.select_units(organisations)),
         links.unit_bodies(organisations),
@@ -1017,6 +1018,6 @@ def _(p):
     return parameterised(
         p.spark,
         "select harvester, count(*) as n from {session} where planned_start >= cast(:since as timestamp_ntz) group by harvester",
-        p.tables("session"),
+        {"session": p["session"]},
         since="1998-01-01",
     )

@@ -11,6 +11,7 @@ spread over four harvesters by number, as one publisher's data is over several e
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -293,8 +294,8 @@ QUAD_GROUPS = {
 _REFERENCE = re.compile(r"\{([a-z_]+)\}")
 
 
-class Projection:
-    """Lazily built frames over one folder of supplied tables."""
+class Projection(Mapping):
+    """Frames over one folder of supplied tables, built when first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -312,8 +313,11 @@ class Projection:
                 raise KeyError(name)
         return self._frames[name]
 
-    def tables(self, *names: str) -> dict[str, DataFrame]:
-        return {name: self[name] for name in names}
+    def __iter__(self):
+        return iter([*TABLES, *PROJECTION])
+
+    def __len__(self) -> int:
+        return len(TABLES) + len(PROJECTION)
 
     def quads(self, *groups: str) -> DataFrame:
         """Quads of whole groups or of single parts."""

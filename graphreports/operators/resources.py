@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,19 +9,11 @@ from pyspark.sql import functions as F
 def assemble(df: DataFrame, key: str | list[str], properties: list[str]) -> DataFrame:
     """One row per resource with the distinct values of each property as a sorted array.
 
-    A star of properties repeats every value once per combination. Each property is reduced to
-    its distinct values over all tasks first, so an array only ever receives each value once."""
+    A star of properties repeats every value once per combination; repeats are dropped in each
+    task before rows are shuffled, so only a resource's distinct values come together."""
     keys = [key] if isinstance(key, str) else list(key)
-    parts = [
-        df.select(*keys, name)
-        .filter(F.col(name).isNotNull())
-        .distinct()
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(name)).alias(name))
-        for name in properties
-    ]
-    resources = df.select(*keys).distinct()
-    return reduce(lambda a, b: a.join(b, keys, "left"), parts, resources).select(*keys, *properties)
+    values = [F.array_sort(F.collect_set(name)).alias(name) for name in properties]
+    return df.groupBy(*keys).agg(*values)
 
 
 def scalar_or_list(values: Column) -> Column:

@@ -45,38 +45,48 @@ def clean_units(properties: DataFrame) -> DataFrame:
 def match_units_any_token(admin_unit: DataFrame, harvest_title: DataFrame) -> DataFrame:
     """Units published by each harvester: any part of the label equals a harvested title."""
     parts = admin_unit.select(*UNIT_COLUMNS, F.explode(label_parts(F.col("label"))).alias("part"))
-    named = parts.select(*UNIT_COLUMNS, F.lower(trim_space(F.col("part"))).alias("name")).distinct()
+    named = parts.select(*UNIT_COLUMNS, F.lower(trim_space(F.col("part"))).alias("name"))
     titles = harvest_title.select("harvester", F.lower(F.col("title")).alias("name")).distinct()
     return named.join(titles, "name").select("harvester", *UNIT_COLUMNS).distinct()
 
 
-def survivors(harvester_unit: DataFrame) -> DataFrame:
-    """Each matched unit with the unit it is merged into.
-
-    Per harvester, units with the same normalised label become one; the one that is not a welfare
-    centre survives, then the lowest URI. A province is never merged. The survivor is an aggregate
-    joined back, not a window, so a label shared by very many units is not one task's work."""
-    keyed = harvester_unit.withColumn(
+def _merge_keys(harvester_unit: DataFrame) -> DataFrame:
+    """Units with the key under which they are merged. A province only merges with itself."""
+    return harvester_unit.withColumn(
         "merge_key",
         F.when(
             F.col("classification") == PROVINCE, F.concat(F.lit("unit:"), F.col("unit_uri"))
         ).otherwise(F.concat(F.lit("label:"), norm_label(F.col("label")))),
     )
+
+
+def _survivors(keyed: DataFrame) -> DataFrame:
+    """One unit per harvester and merge key: not a welfare centre if possible, then the lowest
+    URI. An aggregate, so a label shared by very many units is reduced in every task first."""
     rank = F.struct((F.col("classification") == WELFARE_CENTRE).alias("welfare"), *UNIT_COLUMNS)
-    best = keyed.groupBy("harvester", "merge_key").agg(F.min(rank).alias("best"))
-    return keyed.select("harvester", "merge_key", F.col("unit_uri").alias("member_uri")).join(
-        best, ["harvester", "merge_key"]
-    ).select("harvester", "member_uri", *[F.col(f"best.{c}").alias(c) for c in UNIT_COLUMNS])
+    return (
+        keyed.groupBy("harvester", "merge_key")
+        .agg(F.min(rank).alias("best"))
+        .select("harvester", "merge_key", *[F.col(f"best.{c}").alias(c) for c in UNIT_COLUMNS])
+    )
+
+
+def survivors(harvester_unit: DataFrame) -> DataFrame:
+    """Each matched unit, as ``member_uri``, with the unit it is merged into: per harvester, units
+    with the same normalised label become one."""
+    keyed = _merge_keys(harvester_unit)
+    members = keyed.select("harvester", "merge_key", F.col("unit_uri").alias("member_uri"))
+    return members.join(_survivors(keyed), ["harvester", "merge_key"]).drop("merge_key")
 
 
 def merge_units(harvester_unit: DataFrame, unit_body: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Merged units ``(harvester, unit_uri, unit_id, label, classification)`` and their bodies
     ``(harvester, unit_uri, body_uri, class_label)``, each body once."""
-    mapping = survivors(harvester_unit)
-    units = mapping.select("harvester", *UNIT_COLUMNS).distinct()
+    units = _survivors(_merge_keys(harvester_unit)).drop("merge_key")
+    mapping = survivors(harvester_unit).select("harvester", "member_uri", "unit_uri")
     bodies = (
         unit_body.select(F.col("unit_uri").alias("member_uri"), "body_uri", "class_label")
-        .join(mapping.select("harvester", "member_uri", "unit_uri"), "member_uri")
+        .join(mapping, "member_uri")
         .select("harvester", "unit_uri", "body_uri", "class_label")
         .distinct()
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import ChainMap
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from datetime import date, datetime
@@ -36,8 +37,8 @@ class Run:
     created_at: datetime
     window: date | None = None
 
-    def facts(self) -> dict[str, DataFrame]:
-        return {**self.tables, "session": on_day(self.tables["session"], self.window)}
+    def facts(self) -> Mapping[str, DataFrame]:
+        return ChainMap({"session": on_day(self.tables["session"], self.window)}, self.tables)
 
     def stamped(self, df: DataFrame, kind: str, label: Callable[[Column], Column], *keys: str) -> DataFrame:
         """Add identity, creation time, day, graph and label to rows that carry ``unit_id`` and
