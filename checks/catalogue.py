@@ -485,14 +485,14 @@ def _(p):
     return graph.instances_of(p.quads("harvested"), iri("besluit:Zitting"))
 
 
-@register("property_of", "select harvester, session_uri as subject, item_uri as object from {session_item}")
+@register("property_of", "select distinct harvester, session_uri as subject, item_uri as object from {session_item}")
 def _(p):
     return graph.property_of(p.quads("harvested"), iri("besluit:behandelt"))
 
 
 @register(
     "star",
-    "select s.harvester, s.session_uri as uri, s.held_by, si.item_uri as item from"
+    "select distinct s.harvester, s.session_uri as uri, s.held_by, si.item_uri as item from"
     " (select distinct harvester, session_uri, held_by from {session}) s"
     " join {session_item} si on si.harvester = s.harvester and si.session_uri = s.session_uri",
 )
@@ -503,8 +503,8 @@ def _(p):
 
 @register(
     "follow_path",
-    "select hs.harvester, hs.handling_uri as start, d.doc_uri as \"end\" from {handling_subject} hs"
-    " join {item_doc} d on d.harvester = hs.harvester and d.item_uri = hs.item_uri",
+    "select distinct hs.harvester, hs.handling_uri as start, d.doc_uri as \"end\" from {handling_subject} hs"
+    " join {item_doc} d on " + _same("d", "item_uri", "hs"),
 )
 def _(p):
     return graph.follow_path(p.quads("q_handling", "q_item"), [iri("dct:subject"), iri("prov:wasDerivedFrom")])

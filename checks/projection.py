@@ -94,7 +94,7 @@ PROJECTION = {
         select distinct {harvester('o_orderkey')} as harvester, upper({UNIT_LABEL}) as title
         from {{orders}} join {{customer}} on c_custkey = o_custkey where c_acctbal >= 0
     """,
-    # Facts.
+    # Facts. Order lines repeat, so the tables below hold some rows several times.
     "session": f"""
         select {harvester('o_orderkey')} as harvester, {SESSION} as session_uri,
                {body('o_custkey', 'o_orderpriority')} as held_by,
@@ -106,40 +106,40 @@ PROJECTION = {
         from {{orders}} where o_orderpriority = '1-URGENT'
     """,
     "session_item": f"""
-        select distinct {LINE_H} as harvester, {uri('session', text('l_orderkey'))} as session_uri, {ITEM} as item_uri
+        select {LINE_H} as harvester, {uri('session', text('l_orderkey'))} as session_uri, {ITEM} as item_uri
         from {{lineitem}}
     """,
     "item": f"""
-        select distinct {LINE_H} as harvester, {ITEM} as item_uri from {{lineitem}} where l_tax < 0.08
+        select {LINE_H} as harvester, {ITEM} as item_uri from {{lineitem}} where l_tax < 0.08
     """,
     "item_title": f"""
-        select distinct {LINE_H} as harvester, {ITEM} as item_uri, p_name as title,
+        select {LINE_H} as harvester, {ITEM} as item_uri, p_name as title,
                case when {TITLE_LANG} is null then '{STRING}' else '{iri('rdf:langString')}' end as title_datatype,
                {TITLE_LANG} as title_lang
         from {{lineitem}} join {{part}} on p_partkey = l_partkey where l_returnflag <> 'N'
     """,
     "item_description": f"""
-        select distinct {LINE_H} as harvester, {ITEM} as item_uri, concat('Flag ', l_returnflag) as description
+        select {LINE_H} as harvester, {ITEM} as item_uri, concat('Flag ', l_returnflag) as description
         from {{lineitem}} where l_linestatus = 'F'
     """,
     "item_doc": f"""
-        select distinct {LINE_H} as harvester, {ITEM} as item_uri, {uri('doc', text('l_suppkey'))} as doc_uri
+        select {LINE_H} as harvester, {ITEM} as item_uri, {uri('doc', text('l_suppkey'))} as doc_uri
         from {{lineitem}}
     """,
     "handling_subject": f"""
-        select distinct {LINE_H} as harvester, {HANDLING} as handling_uri, {ITEM} as item_uri from {{lineitem}}
+        select {LINE_H} as harvester, {HANDLING} as handling_uri, {ITEM} as item_uri from {{lineitem}}
     """,
     "handling_resolution": f"""
-        select distinct {LINE_H} as harvester, {HANDLING} as handling_uri, {RESOLUTION} as resolution_uri
+        select {LINE_H} as harvester, {HANDLING} as handling_uri, {RESOLUTION} as resolution_uri
         from {{lineitem}} where l_returnflag = 'R'
     """,
     "handling_vote": f"""
-        select distinct {LINE_H} as harvester, {HANDLING} as handling_uri,
+        select {LINE_H} as harvester, {HANDLING} as handling_uri,
                {uri('vote', text('l_orderkey'), text('l_suppkey'))} as vote_uri
         from {{lineitem}} where l_quantity > 40
     """,
     "resolution": f"""
-        select distinct {LINE_H} as harvester, {RESOLUTION} as resolution_uri
+        select {LINE_H} as harvester, {RESOLUTION} as resolution_uri
         from {{lineitem}} where l_returnflag = 'R' and l_quantity <= 30
     """,
     "publication": f"""

@@ -9,9 +9,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# White space as the source system's runtime defines it (more than Java's \s and
-# not the same set as Unicode White_Space), written as a character class.
-SPACE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+# White space as the source system's runtime defines it, which is neither the blank
+# that Spark trims by default nor the set that Java's regular expressions use.
+SPACE = (
+    "\t\n\x0b\f\r \u00a0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 
 # Characters escaped in RDF text and what they become; the backslash comes first.
 ESCAPES = (
@@ -38,7 +42,7 @@ def nfd(c: Column) -> Column:
 
 def trim_space(c: Column) -> Column:
     """Remove white space at both ends."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def norm_label(c: Column) -> Column:
@@ -49,9 +53,8 @@ def norm_label(c: Column) -> Column:
 def strip_once_lower(c: Column) -> Column:
     """Lower-cased text without leading white space or, when there is none, without trailing."""
     low = F.lower(c)
-    return F.when(low.rlike(f"^{SPACE}"), F.regexp_replace(low, f"^{SPACE}+", "")).otherwise(
-        F.regexp_replace(low, f"{SPACE}+$", "")
-    )
+    front = F.ltrim(low, F.lit(SPACE))
+    return F.when(front != low, front).otherwise(F.rtrim(low, F.lit(SPACE)))
 
 
 def label_parts(c: Column) -> Column:

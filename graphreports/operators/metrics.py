@@ -9,6 +9,7 @@ tasks by the counted resource: a unit with most of the data costs no more than t
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -155,20 +156,28 @@ def count_duplicate_items(tables: Tables, unit_body: DataFrame) -> DataFrame:
     return duplicate_count(typed, tables)
 
 
+# Bits of what is known about an item.
+_TYPED, _TITLED, _DESCRIBED = 1, 2, 4
+
+
+def item_flags(tables: Tables) -> DataFrame:
+    """``(harvester, item_uri, flags)`` of items that are typed, titled or described. The three
+    tables meet in one aggregation instead of one join each; a task sends an item once."""
+    parts = [("item", _TYPED), ("item_title", _TITLED), ("item_description", _DESCRIBED)]
+    marked = [tables[name].select(*ITEM, F.lit(bit).alias("flag")) for name, bit in parts]
+    return reduce(DataFrame.unionByName, marked).groupBy(*ITEM).agg(F.bit_or("flag").alias("flags"))
+
+
 def item_counts(unit_item: DataFrame, tables: Tables) -> DataFrame:
     """The three counts that need no more than a flag per item, in one pass over the items."""
-    flag = lambda table, name: tables[table].select(*ITEM).distinct().withColumn(name, F.lit(True))
-    has = lambda name: F.coalesce(F.col(name), F.lit(False))
-    flagged = (
-        unit_item.join(flag("item", "typed"), ITEM, "left")
-        .join(flag("item_title", "titled"), ITEM, "left")
-        .join(flag("item_description", "described"), ITEM, "left")
+    flagged = unit_item.join(item_flags(tables), ITEM, "left")
+    without = lambda bit: F.count_if(
+        F.col("started") & (F.col("flags").bitwiseAND(F.lit(_TYPED | bit)) == _TYPED)
     )
-    relevant = F.col("started") & has("typed")
     return flagged.groupBy(*UNIT).agg(
         F.count(F.lit(1)).alias("items"),
-        F.count_if(relevant & ~has("titled")).alias("items_without_title"),
-        F.count_if(relevant & ~has("described")).alias("items_without_description"),
+        without(_TITLED).alias("items_without_title"),
+        without(_DESCRIBED).alias("items_without_description"),
     )
 
 

@@ -14,8 +14,9 @@ QUADS = T.StructType(
 )
 QUAD_COLUMNS = QUADS.names
 
-# Key and payload columns of every link table. Every table is a set of rows; multi-valued
-# properties have one row per value, since joins over them must keep bag semantics.
+# Key and payload columns of every link table. Multi-valued properties have one row per value, as
+# joins over them must keep bag semantics. A row may be repeated; no operator relies on it being
+# there once.
 LINK_TABLES = {
     "session": ("harvester", "session_uri", "held_by", "planned_start"),
     "session_item": ("harvester", "session_uri", "item_uri"),
