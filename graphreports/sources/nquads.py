@@ -38,17 +38,34 @@ _FIELDS = ("s_iri", "s_bnode", "p", "o_iri", "o_bnode", "lang", "datatype", "g_i
 _ORDER = (1, 2, 3, 4, 5, 7, 8, 9, 10, 6)
 
 
-def _fields(line: Column) -> Column:
-    """Fields of a statement as an array, NULL for other lines."""
+def _rewritten(line: Column, form: str) -> Column:
+    """Separated fields of a line that matches; a line that does not stays as it is."""
+    return F.split(
+        F.regexp_replace(line, form, _SEP.join(f"${n}" for n in _ORDER)), _SEP, len(_FIELDS)
+    )
+
 
-    def attempt(form: str) -> Column:
-        rewritten = F.regexp_replace(line, form, _SEP.join(f"${n}" for n in _ORDER))
-        fields = F.split(rewritten, _SEP, len(_FIELDS))
-        bare = F.regexp_replace(fields[len(_FIELDS) - 1], r"(?s)\\.", "")
-        well_escaped = ~bare.contains('"') & ~bare.contains("\\")
-        return F.when(line.rlike(form), F.when(well_escaped, fields))
+def _checked(fields: Column, line: Column, form: str) -> Column:
+    """``fields`` of a statement, NULL for a line that is none."""
+    matched = (F.size(fields) == len(_FIELDS)) & (~line.contains(_SEP) | line.rlike(form))
+    literal = F.get(fields, F.lit(len(_FIELDS) - 1))
+    bare = F.regexp_replace(literal, r"(?s)\\.", "")
+    well_escaped = (~literal.contains('"') & ~literal.contains("\\")) | (
+        ~bare.contains('"') & ~bare.contains("\\")
+    )
+    return F.when(matched & well_escaped, fields)
 
-    return F.coalesce(attempt(STATEMENT), attempt(COMMENTED))
+
+def _with_fields(lines: DataFrame, line: str, *others: Column) -> DataFrame:
+    """``others``, ``line`` and ``fields`` of each line. The pattern runs once per line: exploding
+    an array of one keeps later filters from being moved below it, where they would run it again.
+    Only a line it cannot read is tried with the second pattern."""
+    c = F.col("line")
+    first = lines.select(
+        *others, F.col(line).alias("line"), F.explode_outer(F.array(_rewritten(F.col(line), STATEMENT))).alias("first")
+    )
+    second = _checked(_rewritten(c, COMMENTED), c, COMMENTED)
+    return first.withColumn("fields", F.coalesce(_checked(F.col("first"), c, STATEMENT), second)).drop("first")
 
 
 def parse_nquads(lines: DataFrame, harvester: str | Column, column: str = "value") -> DataFrame:
@@ -56,9 +73,7 @@ def parse_nquads(lines: DataFrame, harvester: str | Column, column: str = "value
     :func:`rejected_lines`."""
     if isinstance(harvester, str):
         harvester = F.lit(harvester)
-    parsed = lines.select(
-        harvester.alias("harvester"), _fields(F.col(column)).alias("fields")
-    ).filter(F.col("fields").isNotNull())
+    parsed = _with_fields(lines, column, harvester.alias("harvester")).filter(F.col("fields").isNotNull())
     field = {name: F.col("fields")[i] for i, name in enumerate(_FIELDS)}
     filled = lambda name: field[name] != ""
 
@@ -89,8 +104,8 @@ def parse_nquads(lines: DataFrame, harvester: str | Column, column: str = "value
 
 def rejected_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Lines that are neither a statement, a comment nor blank."""
-    c = F.col(column)
-    return lines.filter(_fields(c).isNull() & ~c.rlike(IGNORED)).select(c.alias("line"))
+    parsed = _with_fields(lines, column)
+    return parsed.filter(F.col("fields").isNull() & ~F.col("line").rlike(IGNORED)).select("line")
 
 
 def read_quads(spark: SparkSession, path: str | list[str], harvester: str) -> DataFrame:
