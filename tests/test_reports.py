@@ -27,6 +27,7 @@ def test_every_report_runs_and_links_only_what_exists(run):
     counted = {r.report_uri for r in tables["publication_count_report"].collect()}
     assert bodies == linked == counted
     assert tables["admin_unit_count_report"].count() == run.units.count() > len(bodies)
+    assert not reports.quads_of(tables).isEmpty()
     with pytest.raises(ValueError, match="unknown report"):
         reports.run_report("DUMMY", run)
 
@@ -57,10 +58,9 @@ def test_quads_of_a_report(rows):
     }
 
 
-def test_all_reports_become_quads(run):
-    for key in reports.REPORTS:
-        tables = reports.run_report(key, run)
-        assert not reports.quads_of(tables).isEmpty()
+@pytest.mark.parametrize("key", sorted(set(reports.REPORTS) - {"COUNT_RESOURCES"}))
+def test_other_reports_become_quads(run, key):
+    assert not reports.quads_of(reports.run_report(key, run)).isEmpty()
 
 
 def test_written_reports_are_replaced_per_unit(spark, rows, tmp_path):
