@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graphreports.llm import linededup, mixing, packing, quality, simhash
+from graphreports.llm import extraction, fingerprint, linededup, mixing, neural_lm, packing, quality, simhash, toxicity, warc
 from graphreports.llm.common import table
+from graphreports.runtime import ensure_checkpoint_dir
 
 WORDS_PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORDS_PATH)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.roundtrip(table(spark, sf_dir, "pages"), f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"))
 
@@ -25,6 +35,18 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.report(table(spark, sf_dir, "documents"))
+
+
+def op7_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.report(table(spark, sf_dir, "pages"))
+
+
+def op8_neural_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neural_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(table(spark, sf_dir, "documents"))
 
@@ -40,9 +62,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
+    "op3_warc": op3_warc,
     "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
+    "op6_fingerprint": op6_fingerprint,
+    "op7_extraction": op7_extraction,
+    "op8_neural_lm": op8_neural_lm,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality": op10_quality,
     "pipeline": pipeline,
