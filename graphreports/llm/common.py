@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from graphreports.runtime import ensure_checkpoint_dir
+from graphreports.runtime import new_folder
 
 SPACE = r"[\x20\x09-\x0D]+"  # what parts words; every other character belongs to a word
 SPACES = " \t\n\x0b\x0c\r"
@@ -28,10 +26,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     The folder is removed when the application ends.
     """
     spark = df.sparkSession
-    place = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    place = new_folder(spark, label)
     df.write.parquet(place)
-    path = spark._jvm.org.apache.hadoop.fs.Path(place)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(place)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphreports.llm import extraction, fingerprint, linededup, mixing, neural_lm, packing, quality, simhash, toxicity, warc
 from graphreports.llm.common import table
-from graphreports.runtime import ensure_checkpoint_dir
+from graphreports.runtime import new_folder
 
 WORDS_PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -24,7 +23,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.roundtrip(table(spark, sf_dir, "pages"), f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}")
+    return warc.roundtrip(table(spark, sf_dir, "pages"), new_folder(spark, "warc"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
