@@ -10,25 +10,25 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 from datetime import date, datetime
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.projection import BASE, ITEM, PROJECTION, Projection, STAMP, text, uri, with_projection
+from checks.projection import BASE, ITEM, PROJECTION, SESSION, STAMP, Projection, harvester, text, uri, with_projection
 from graphreports.functions import labels, terms, times, uris
 from graphreports.functions import text as texts
 from graphreports.operators import harvests, metrics, publications, resources, rewrite, sessions, units
 from graphreports.plans import quads as report_quads
 from graphreports.plans import reports
 from graphreports.plans.queries import query as parameterised
-from graphreports.runtime import configure, ensure_checkpoint_dir
+from graphreports.runtime import configure, cut_lineage, new_folder
 from graphreports.sources import graph, links, nquads, store
 from graphreports.vocabulary import (
     DAY_OF_WEEK,
     JOB_GRAPH,
     METRIC_LABELS,
     MUNICIPALITY,
+    PREFIXES,
     PROVINCE,
     RDF_TYPE,
     REPEAT_FREQUENCY,
@@ -101,7 +101,8 @@ def _strip_once(expr: str) -> str:
 
 
 def _uuid(*parts: str) -> str:
-    digest = f"md5(concat_ws('|', {', '.join(parts)}))"
+    pieces = ", ".join(f"coalesce(concat(length({x}), ':', {x}), '-')" for x in parts)
+    digest = f"md5(concat({pieces}))"
     pieces = ", ".join(f"substr({digest}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
     return f"concat_ws('-', {pieces})"
 
@@ -180,8 +181,8 @@ STEPS = {
         from {unit_body} b join {survivor} v on v.member_uri = b.unit_uri
     """,
     "metric": _METRICS,
-    "reported_metric": "select * from {metric} m where n > 0 and exists (select 1 from {metric} z"
-    " where z.harvester = m.harvester and z.unit_uri = m.unit_uri and z.metric = 'sessions' and z.n > 0)",
+    "reported_metric": "select harvester, unit_uri, metric, metric_label, n from (select *, max(case when metric = 'sessions' then n end)"
+    " over (partition by harvester, unit_uri) as planned from {metric}) where n > 0 and planned > 0",
     "decision": "select b.harvester, b.unit_uri, b.class_label, count(distinct r.resolution_uri) as n from "
     + _TYPED + _RESOLVED + _STARTED + " group by all",
     "last_run": f"""
@@ -440,9 +441,15 @@ def _(p):
     return resources.single_row(totals)
 
 
-@register("limit_or_all", "select harvester, item_uri from {item}")
+@register(
+    "limit_or_all",
+    "(select *, true as limited from (select distinct harvester, item_uri from {item}) order by item_uri, harvester limit 25)"
+    " union all select harvester, item_uri, false from {item}",
+)
 def _(p):
-    return resources.limit_or_all(p["item"], 0)
+    """The feature is the limit: the first 25 of an order, and all rows without one."""
+    first = resources.limit_or_all(p["item"].distinct().orderBy("item_uri", "harvester"), 25)
+    return first.withColumn("limited", F.lit(True)).union(resources.limit_or_all(p["item"], 0).withColumn("limited", F.lit(False)))
 
 
 @register(
@@ -573,7 +580,7 @@ def _(p):
 def _(p):
     """The whole way from stored quads: dimension, link tables, metrics. The store is a table
     written to the shared folder, laid out by harvester and predicate."""
-    path = f"{ensure_checkpoint_dir(p.spark)}/quads-{uuid4()}"
+    path = new_folder(p.spark, "quads")
     store.write_quads(p.quads("harvested", "organisations"), path)
     stored = store.load_quads(p.spark, path)
     organisations = stored.filter(F.col("harvester") == "organisations")
@@ -586,6 +593,60 @@ def _(p):
     return metrics.unit_metrics(tables, body)
 
 
+_LOCAL_MIDNIGHT = "epoch_us(timezone('Europe/Brussels', cast(cast(o_orderdate as date) as timestamp)))"
+
+
+@register(
+    "link_sessions",
+    f"""select {harvester('o_orderkey')} as harvester, {SESSION} as session_uri, o_totalprice >= 25000 as has_start,
+               case when o_totalprice < 25000 or o_orderstatus = 'P' then null when o_orderstatus = 'F' then {_LOCAL_MIDNIGHT}
+                    else epoch_us(o_orderdate) - 7200000000 end as start
+        from {{orders}}""",
+)
+def _(p):
+    """Starts as dates, with an offset without a colon, and as text that is no time at all."""
+    return links.session_table(p["q_starts"]).select(
+        "harvester", "session_uri", "has_start", F.unix_micros("planned_start").alias("start")
+    )
+
+
+@register(
+    "windowed_sessions",
+    f"select {harvester('o_orderkey')} as harvester, {SESSION} as session_uri from {{orders}}"
+    " where cast(o_orderdate as date) = date '1997-05-28' and o_totalprice >= 25000 and o_orderstatus <> 'P'",
+)
+def _(p):
+    return sessions.on_day(links.session_table(p["q_starts"]), date(1997, 5, 28)).select("harvester", "session_uri")
+
+
+@register(
+    "read_quads_files",
+    "select 'organisations' as harvester, g, case when starts_with(s, '_:') then replace(concat('_:dump-', substr(s, 3)), ' ', '_') else s end as s, p,"
+    " case when o_kind = 'bnode' then replace(concat('_:dump-', substr(o, 3)), ' ', '_') else o end as o, o_kind, o_datatype, o_lang from {q_body}",
+)
+def _(p):
+    path = new_folder(p.spark, "nquads")
+    label = lambda c: F.when(F.col(c).startswith("_:"), F.replace(F.col(c), F.lit(" "), F.lit("_"))).otherwise(F.col(c))
+    nquads.write_nquads(p["q_body"].withColumns({"s": label("s"), "o": label("o")}), path)
+    return nquads.read_quads(p.spark, path, "organisations", scope="dump")
+
+
+_FIRST = "https://harvester-0.example.org/sparql"
+
+
+@register(
+    "reharvest",
+    "select harvester, p, count(*) as n from (select harvester, p from {q_session} union all"
+    f" select harvester, p from {{q_item}} where harvester = '{_FIRST}') group by all",
+)
+def _(p):
+    """A second harvest of all harvesters but one, which has no predicates of items any more."""
+    path = new_folder(p.spark, "quads")
+    store.write_quads(p.quads("q_session", "q_item"), path)
+    store.write_quads(p["q_session"].filter(F.col("harvester") != _FIRST), path)
+    return store.load_quads(p.spark, path).groupBy("harvester", "p").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- replacing and deleting --------------------------------------------------------------------------
 
 
@@ -728,7 +789,7 @@ def _(p):
 
 
 def _dm(name: str) -> str:
-    return iri(f"datamonitoring:{name}")
+    return iri(f"monitoring:{name}")
 
 
 def _property(p: str, o: str, datatype: str | None, source: str, s: str = "report_uri") -> str:
@@ -771,6 +832,45 @@ def _(p):
     )
 
 
+_DECISION_QUADS = [
+    _property(RDF_TYPE, f"'{_dm('DecisionReport')}'", None, "decision_row"),
+    _property(_dm("createdAt"), "'2024-03-31T03:30:00+02:00'", "xsd:dateTime", "decision_row"),
+    _property(_dm("day"), "'2024-03-31'", "xsd:date", "decision_row"),
+    _property(iri("skos:prefLabel"), "label", "xsd:string", "decision_row"),
+    _property(iri("mu:uuid"), "uuid", "xsd:string", "decision_row"),
+    _property(_dm("targetAdministrativeUnit"), "unit_uri", None, "decision_row"),
+    _property(_dm("classLabel"), "class_label", "xsd:string", "decision_row"),
+    _property(_dm("count"), "cast(count as varchar)", "xsd:integer", "decision_row"),
+]
+
+
+@register("publish_reports", " union all ".join([_quads_sql("q_unit"), *_DECISION_QUADS]))
+def _(p):
+    """Publishing a day's reports a second time replaces those of the first."""
+    run = nightly(p)
+    tables = {"decision_report": cut_lineage(reports.decision_report(run))}
+    first = cut_lineage(reports.publish_reports(p["q_unit"], tables, run))
+    return reports.publish_reports(first, tables, run)
+
+
+@register("run_report", "select * from {decision_row}")
+def _(p):
+    """The stored table after a report was run twice."""
+    run, path = nightly(p), new_folder(p.spark, "reports")
+    for _turn in range(2):
+        columns = reports.run_report("DECISION_REPORT_DAILY", run, path)["decision_report"].columns
+    return p.spark.read.parquet(f"{path}/decision_report").select(columns)
+
+
+@register("load_dimension", "select harvester, unit_uri, unit_id, label, classification from {unit}")
+def _(p):
+    """The day's snapshot, built by the first call and loaded by the second."""
+    path = new_folder(p.spark, "dimension")
+    for _turn in range(2):
+        tables = store.dimension_of_day(p.spark, path, DAY, lambda: dict(zip(store.DIMENSION, dimension(p), strict=True)))
+    return tables["unit"]
+
+
 # --- scalar functions --------------------------------------------------------------------------------
 
 _DECOMPOSED = [
@@ -883,18 +983,18 @@ def _(p):
 
 @register(
     "expand_uri",
-    f"""select doc_id, case lang when 'en' then concat('{iri('skos:')}', 'note-', doc_id) when 'fr' then concat('{iri('eurm8g:')}', 'note-', doc_id)
+    f"""select doc_id, case lang when 'en' then concat('{iri('skos:')}', 'note-', doc_id) when 'fr' then concat('http://example.org/notes/', 'note-', doc_id)
                when 'de' then null else concat('http://example.org/', lang, '/', doc_id) end as uri from {{documents}}""",
 )
 def _(p):
     lang, local = F.col("lang"), F.concat(F.lit("note-"), F.col("doc_id"))
     short = (
         F.when(lang == "en", F.concat(F.lit("skos:"), local))
-        .when(lang == "fr", F.concat(F.lit("eurm8g:"), local))
+        .when(lang == "fr", F.concat(F.lit("notes:"), local))
         .when(lang == "de", F.concat(F.lit("nowhere:"), local))
         .otherwise(F.concat(F.lit("http://example.org/"), lang, F.lit("/"), F.col("doc_id")))
     )
-    return p["documents"].select("doc_id", uris.expand_uri(short).alias("uri"))
+    return p["documents"].select("doc_id", uris.expand_uri(short, PREFIXES | {"notes": "http://example.org/notes/"}).alias("uri"))
 
 
 _DAYS = {name: i for i, name in enumerate(["SUNDAY", "MONDAY", "TUESDAY", "WEDNESDAY", "THURSDAY", "FRIDAY", "SATURDAY"])}
@@ -910,8 +1010,8 @@ def _(p):
     uri_text = F.concat(F.lit(iri("time:")), F.when(F.col("event_type") == "view", "Someday").otherwise(name))
     return p["events"].select(
         "event_id",
-        uris.enum_key(uri_text).alias("key"),
-        uris.enum_uri(name, "day_of_week").alias("uri"),
+        uris.enum_key(uri_text, DAY_OF_WEEK).alias("key"),
+        uris.enum_uri(name, DAY_OF_WEEK).alias("uri"),
         times.day_of_week(F.col("ts")).alias("day"),
     )
 

@@ -283,6 +283,16 @@ QUAD_PARTS["q_typed"] = [
     _quad(_SHOP, uri("event", text("event_id")), "ext:clock",
           "concat(substring(cast(ts as varchar(40)), 12, 8), '.250-05:30')", "events", **_literal(iri("xsd:time"))),
 ]
+# Sessions whose starts are dates, have an offset without a colon, or can't be read.
+_H = harvester("o_orderkey")
+QUAD_PARTS["q_starts"] = [
+    _typed("orders", SESSION, "besluit:Zitting", h=_H),
+    _quad(_H, SESSION, "besluit:isGehoudenDoor", body("o_custkey", "o_orderpriority"), "orders"),
+    _quad(_H, SESSION, "besluit:geplandeStart",
+          "case o_orderstatus when 'F' then substring(cast(o_orderdate as varchar(40)), 1, 10) when 'P' then 'to be announced'"
+          " else concat(replace(cast(o_orderdate as varchar(40)), ' ', 'T'), '+0200') end",
+          "orders", where="where o_totalprice >= 25000", **_literal(iri("xsd:dateTime"))),
+]
 for _name, _selects in QUAD_PARTS.items():
     PROJECTION[_name] = " union all ".join(_selects)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from graphreports.vocabulary import MUNICIPALITY, PREFIXES, REPORT_GRAPH_BASE, REPORT_GRAPH_SUFFIX
+from graphreports.vocabulary import MUNICIPALITY, PREFIXES, Names
 
 
 def unit_kind(classification: Column) -> Column:
@@ -13,8 +13,8 @@ def unit_kind(classification: Column) -> Column:
     return F.when(classification == MUNICIPALITY, "gemeente").otherwise("provincie")
 
 
-def report_graph(unit_id: Column) -> Column:
-    return F.concat(F.lit(REPORT_GRAPH_BASE), unit_id, F.lit(REPORT_GRAPH_SUFFIX))
+def report_graph(unit_id: Column, names: Names = Names()) -> Column:
+    return F.concat(F.lit(names.graph_base), unit_id, F.lit(names.graph_suffix))
 
 
 def metric_class(metric_label: Column) -> Column:

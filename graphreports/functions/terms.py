@@ -23,9 +23,12 @@ _OFFSET = r"(Z|[+-]\d{2}:\d{2})$"
 
 
 def parse_datetime(c: Column) -> Column:
-    """Instant of an ``xsd:dateTime``; text without an offset is local wall-clock time."""
-    zoned = F.when(c.rlike(_OFFSET), c).otherwise(F.concat(c, F.lit(LOCAL_TIMEZONE)))
-    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}T"), zoned).try_cast("timestamp")
+    """Instant of an ``xsd:dateTime``; text without an offset is local wall-clock time. An offset
+    may lack its colon, and a date alone (with or without an offset) is its first instant."""
+    dated = F.regexp_replace(c, r"^(\d{4}-\d{2}-\d{2})(Z|[+-]\d{2}:?\d{2})?$", "$1T00:00:00$2")
+    text = F.regexp_replace(dated, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    zoned = F.when(text.rlike(_OFFSET), text).otherwise(F.concat(text, F.lit(LOCAL_TIMEZONE)))
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T"), zoned).try_cast("timestamp")
 
 
 def parse_boolean(c: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from graphreports.vocabulary import ENUMERATIONS, PREFIXES, RESOURCE_BASE
+from graphreports.vocabulary import PREFIXES, RESOURCE_BASE
 
 # Form of a short name, and of a UUID.
 SHORT_NAME = r"^([\w-]+):([\w-]+)$"
@@ -15,7 +17,7 @@ UUID_FORM = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 _DEFAULT_PORTS = {"http": "80", "https": "443", "ws": "80", "wss": "443", "ftp": "21"}
 
 
-def _lookup(entries: dict[str, str]) -> Column:
+def _lookup(entries: Mapping[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in entries.items() for x in kv])
 
 
@@ -44,23 +46,22 @@ def to_node(c: Column) -> Column:
     return F.when(is_plain_uri(c), F.concat(F.lit("<"), c, F.lit(">")))
 
 
-def expand_uri(c: Column) -> Column:
+def expand_uri(c: Column, prefixes: Mapping[str, str] = PREFIXES) -> Column:
     """Full URI of a ``prefix:local`` name; an unknown prefix gives NULL, other text passes."""
     prefix = F.regexp_extract(c, SHORT_NAME, 1)
     local = F.regexp_extract(c, SHORT_NAME, 2)
-    return F.when(c.rlike(SHORT_NAME), F.concat(_lookup(PREFIXES)[prefix], local)).otherwise(c)
+    return F.when(c.rlike(SHORT_NAME), F.concat(_lookup(prefixes)[prefix], local)).otherwise(c)
 
 
-def enum_key(c: Column, strict: bool = False) -> Column:
-    """Key of an enumeration URI. Unknown: NULL, or an error when ``strict``."""
-    keys = {u: k for members in ENUMERATIONS.values() for k, u in members.items()}
-    found = _lookup(keys)[c]
+def enum_key(c: Column, members: Mapping[str, str], strict: bool = False) -> Column:
+    """Key of a URI of an enumeration (key to URI). Unknown: NULL, or an error when ``strict``."""
+    found = _lookup({u: k for k, u in members.items()})[c]
     return F.coalesce(found, _unknown("URI", c)) if strict else found
 
 
-def enum_uri(c: Column, enumeration: str, strict: bool = False) -> Column:
-    """URI of a key within one enumeration. Unknown: NULL, or an error when ``strict``."""
-    found = _lookup(ENUMERATIONS[enumeration])[F.upper(c)]
+def enum_uri(c: Column, members: Mapping[str, str], strict: bool = False) -> Column:
+    """URI of a key of an enumeration. Unknown: NULL, or an error when ``strict``."""
+    found = _lookup(members)[F.upper(c)]
     return F.coalesce(found, _unknown("key", c)) if strict else found
 
 
@@ -76,13 +77,15 @@ def is_uuid(c: Column) -> Column:
 
 def stable_id(*keys: Column) -> Column:
     """Identifier in UUID form, the same for the same keys, so that a task run again after a
-    lost executor writes the same resource."""
-    parts = [F.coalesce(k.cast("string"), F.lit("\\N")) for k in keys]
-    digest = F.md5(F.concat_ws("|", *parts))
+    lost executor writes the same resource. Each key is written with its length, so that no two
+    lists of keys give the same text."""
+    texts = [k.cast("string") for k in keys]
+    parts = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    digest = F.md5(F.concat(*parts))
     return F.concat_ws(
         "-", *[F.substring(digest, start, n) for start, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     )
 
 
-def resource_uri(uuid: Column) -> Column:
-    return F.concat(F.lit(RESOURCE_BASE), uuid)
+def resource_uri(uuid: Column, base: str = RESOURCE_BASE) -> Column:
+    return F.concat(F.lit(base), uuid)

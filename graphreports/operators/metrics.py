@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphreports.operators.resources import non_zero
-from graphreports.operators.sessions import UNIT, unit_items, unit_sessions
+from graphreports.operators.sessions import UNIT, unit_items, unit_sessions, with_planned_start
 from graphreports.vocabulary import METRIC_LABELS, RDF_TYPE
 
 ITEM = ["harvester", "item_uri"]
@@ -212,8 +212,7 @@ def decisions_by_class(tables: Tables, unit_body: DataFrame) -> DataFrame:
     holds the session. A session held by bodies of two classes counts in both."""
     key = [*UNIT, "class_label"]
     sessions = (
-        tables["session"]
-        .filter(F.col("planned_start").isNotNull())
+        with_planned_start(tables["session"])
         .join(unit_body.withColumnRenamed("body_uri", "held_by"), ["harvester", "held_by"])
         .select(*key, "session_uri")
         .distinct()

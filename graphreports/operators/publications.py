@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphreports.operators.sessions import UNIT, held_by_unit, with_planned_start
@@ -22,11 +22,12 @@ def publications(publication: DataFrame) -> DataFrame:
     )
 
 
-def _first(df: DataFrame, *order) -> DataFrame:
-    """First row per unit in a complete order. Each task keeps its own first row per unit before
-    rows are shuffled."""
-    window = Window.partitionBy(*UNIT).orderBy(*order)
-    return df.withColumn("rn", F.row_number().over(window)).filter("rn = 1").drop("rn")
+def _newest(df: DataFrame) -> DataFrame:
+    """The session with the latest start per unit, of equal ones the first by URI; starts that
+    can't be read come last. An aggregate, so every task sends one row per unit."""
+    age = F.timestamp_diff("MICROSECOND", F.col("planned_start"), F.lit("2100-01-01 00:00:00").cast(df.schema["planned_start"].dataType))
+    order = F.struct(F.coalesce(age, F.lit(2**62)).alias("age"), "session_uri", "planned_start")
+    return df.groupBy(*UNIT).agg(F.min(order).alias("first")).select(*UNIT, "first.planned_start", "first.session_uri")
 
 
 def latest_publication(
@@ -41,10 +42,7 @@ def latest_publication(
         sessions_with_minutes(publication), ["harvester", "session_uri"], "left_semi"
     )
     bodies = unit_body.select(*UNIT, "body_uri").distinct()
-    newest = _first(
-        held_by_unit(candidates, bodies).select(*UNIT, "planned_start", "session_uri"),
-        F.desc("planned_start"), F.asc("session_uri"),
-    )
+    newest = _newest(held_by_unit(candidates, bodies).select(*UNIT, "planned_start", "session_uri"))
     urls = newest.join(
         publication.select("harvester", "session_uri", "url").distinct(), ["harvester", "session_uri"]
     )

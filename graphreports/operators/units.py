@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphreports.functions.text import join_list, label_parts, norm_label, trim_space
 from graphreports.operators.resources import assemble
+from graphreports.runtime import cut_lineage
 from graphreports.sources.graph import instances_of, isin_values
 from graphreports.sources.links import unit_properties
 from graphreports.vocabulary import PROVINCE, REPORTED_CLASSIFICATIONS, WELFARE_CENTRE, iri
@@ -74,16 +75,23 @@ def _survivors(keyed: DataFrame) -> DataFrame:
 def survivors(harvester_unit: DataFrame) -> DataFrame:
     """Each matched unit, as ``member_uri``, with the unit it is merged into: per harvester, units
     with the same normalised label become one."""
-    keyed = _merge_keys(harvester_unit)
+    keyed = cut_lineage(_merge_keys(harvester_unit))
+    return _mapped(keyed, _survivors(keyed))
+
+
+def _mapped(keyed: DataFrame, kept: DataFrame) -> DataFrame:
     members = keyed.select("harvester", "merge_key", F.col("unit_uri").alias("member_uri"))
-    return members.join(_survivors(keyed), ["harvester", "merge_key"]).drop("merge_key")
+    return members.join(kept, ["harvester", "merge_key"]).drop("merge_key")
 
 
 def merge_units(harvester_unit: DataFrame, unit_body: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Merged units ``(harvester, unit_uri, unit_id, label, classification)`` and their bodies
     ``(harvester, unit_uri, body_uri, class_label)``, each body once."""
-    units = _survivors(_merge_keys(harvester_unit)).drop("merge_key")
-    mapping = survivors(harvester_unit).select("harvester", "member_uri", "unit_uri")
+    # Written once: units, survivors and bodies all follow from it, and the keys cost a pass in Python.
+    keyed = cut_lineage(_merge_keys(harvester_unit))
+    kept = _survivors(keyed)
+    units = kept.drop("merge_key")
+    mapping = _mapped(keyed, kept).select("harvester", "member_uri", "unit_uri")
     bodies = (
         unit_body.select(F.col("unit_uri").alias("member_uri"), "body_uri", "class_label")
         .join(mapping, "member_uri")

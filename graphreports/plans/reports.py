@@ -16,11 +16,12 @@ from graphreports.operators.harvests import last_runs, match_rate, match_units_f
 from graphreports.operators.metrics import decisions_by_class, unit_metrics
 from graphreports.operators.publications import latest_publication
 from graphreports.operators.resources import non_zero
+from graphreports.operators.rewrite import replace_reports
 from graphreports.operators.sessions import UNIT, on_day, session_bounds
 from graphreports.plans.quads import RESOURCES, reports_to_quads
 from graphreports.runtime import cut_lineage
 from graphreports.sources.store import write_reports
-from graphreports.vocabulary import METRIC_LABELS
+from graphreports.vocabulary import METRIC_LABELS, Names
 
 
 @dataclass(frozen=True)
@@ -36,6 +37,7 @@ class Run:
     day: date
     created_at: datetime
     window: date | None = None
+    names: Names = Names()
 
     def facts(self) -> Mapping[str, DataFrame]:
         return ChainMap({"session": on_day(self.tables["session"], self.window)}, self.tables)
@@ -46,12 +48,12 @@ class Run:
         day = F.lit(self.day)
         uuid = stable_id(F.lit(kind), *[F.col(k) for k in (*UNIT, *keys)], day)
         return df.select(
-            resource_uri(uuid).alias("report_uri"),
+            resource_uri(uuid, self.names.resource_base).alias("report_uri"),
             uuid.alias("uuid"),
             F.lit(self.created_at.isoformat(sep=" ")).cast("timestamp_ntz").alias("created_at"),
             day.alias("day"),
             label(day).alias("label"),
-            labels.report_graph(F.col("unit_id")).alias("graph"),
+            labels.report_graph(F.col("unit_id"), self.names).alias("graph"),
             *[c for c in df.columns if c not in ("unit_id", "unit_label", "classification")],
         )
 
@@ -78,19 +80,25 @@ def governing_body_count_report(run: Run, metrics: DataFrame | None = None) -> D
 def publication_count_report(run: Run, metrics: DataFrame | None = None) -> DataFrame:
     """One row per non-zero count, belonging to a report of the table above."""
     metrics = unit_metrics(run.facts(), run.bodies) if metrics is None else metrics
-    metric_label = F.create_map(*[F.lit(x) for kv in METRIC_LABELS.items() for x in kv])[F.col("metric")]
     day = F.lit(run.day)
     uuid = stable_id(F.lit("metric-count"), F.col("harvester"), F.col("unit_uri"), F.col("metric"), day)
     report = stable_id(F.lit("body-count"), F.col("harvester"), F.col("unit_uri"), day)
-    return run.with_unit(metrics).select(
-        resource_uri(uuid).alias("count_uri"),
-        resource_uri(report).alias("report_uri"),
-        uuid.alias("uuid"),
+    wording = F.lit(None).cast("string")
+    for metric, text in METRIC_LABELS.items():
+        wording = F.when(F.col("metric") == metric, F.lit(text)).otherwise(wording)
+    # Digests and wording are computed once per row, below what is put together from them: an
+    # exploded array of one keeps the two steps apart.
+    once = F.struct(uuid.alias("uuid"), report.alias("report"), wording.alias("wording"))
+    rows = run.with_unit(metrics).select(*UNIT, "unit_id", "n", F.explode(F.array(once)).alias("k"))
+    return rows.select(
+        resource_uri(F.col("k.uuid"), run.names.resource_base).alias("count_uri"),
+        resource_uri(F.col("k.report"), run.names.resource_base).alias("report_uri"),
+        F.col("k.uuid").alias("uuid"),
         day.alias("day"),
-        labels.report_graph(F.col("unit_id")).alias("graph"),
+        labels.report_graph(F.col("unit_id"), run.names).alias("graph"),
         *UNIT,
-        labels.metric_class(metric_label).alias("target_class"),
-        labels.metric_count_label(metric_label).alias("label"),
+        labels.metric_class(F.col("k.wording")).alias("target_class"),
+        labels.metric_count_label(F.col("k.wording")).alias("label"),
         F.col("n").alias("count"),
     )
 
@@ -103,7 +111,7 @@ def admin_unit_count_report(run: Run, metrics: DataFrame | None = None) -> DataF
     units = run.units.select(*UNIT, "unit_id", F.col("label").alias("unit_label"), "classification")
     linked = units.join(counted, UNIT, "left").withColumn(
         "governing_body_reports",
-        F.when(F.col("reported"), F.array(resource_uri(report))).otherwise(
+        F.when(F.col("reported"), F.array(resource_uri(report, run.names.resource_base))).otherwise(
             F.array().cast("array<string>")
         ),
     ).drop("reported")
@@ -153,7 +161,7 @@ def last_harvest_report(run: Run) -> DataFrame:
     )
     return run.stamped(
         matched, "harvest", lambda day: labels.harvest_label(F.col("unit_label"), day), *keys
-    ).withColumn("record_uri", resource_uri(F.col("record_uuid")))
+    ).withColumn("record_uri", resource_uri(F.col("record_uuid"), run.names.resource_base))
 
 
 def last_harvest_record(run: Run, reports: DataFrame | None = None) -> DataFrame:
@@ -184,7 +192,13 @@ def count_reports(run: Run) -> dict[str, DataFrame]:
 
 def harvest_reports(run: Run) -> dict[str, DataFrame]:
     reports = last_harvest_report(run)
-    return {"last_harvest_report": reports, "last_harvest_record": last_harvest_record(run, reports)}
+    unmatched, rate = (df.withColumn("day", F.lit(run.day)) for df in harvest_match(run))
+    return {
+        "last_harvest_report": reports,
+        "last_harvest_record": last_harvest_record(run, reports),
+        "unmatched_units": unmatched,
+        "match_rate": rate,
+    }
 
 
 # Report functions by key; adding a report means adding a function here.
@@ -207,13 +221,28 @@ def run_report(key: str, run: Run, path: str | None = None) -> dict[str, DataFra
     tables = build(run)
     if path is not None:
         for name, df in tables.items():
-            write_reports(df, f"{path}/{name}", [*UNIT, "day"])
+            write_reports(df, f"{path}/{name}", [*UNIT, "day"] if "unit_uri" in df.columns else ["harvester", "day"], run.day)
     return tables
 
 
-def quads_of(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """All report tables as quads."""
-    frames = [reports_to_quads(df, RESOURCES[name]) for name, df in tables.items()]
+def publish_reports(quads: DataFrame, tables: Mapping[str, DataFrame], run: Run) -> DataFrame:
+    """``quads`` with the report tables written into their units' graphs, in place of the day's
+    reports of the same classes there. Publishing twice changes nothing more."""
+    out = quads
+    for name, df in tables.items():
+        if name not in RESOURCES:
+            continue
+        new = reports_to_quads(df, RESOURCES[name], run.names)
+        if RESOURCES[name].parent is None:
+            out = replace_reports(out, new, run.names.iri(RESOURCES[name].cls), run.day, run.names)
+        else:  # the parts of a report went with it
+            out = out.unionByName(new)
+    return out
+
+
+def quads_of(tables: Mapping[str, DataFrame], names: Names = Names()) -> DataFrame:
+    """All report tables that have a published form, as quads."""
+    frames = [reports_to_quads(df, RESOURCES[name], names) for name, df in tables.items() if name in RESOURCES]
     out = frames[0]
     for df in frames[1:]:
         out = out.unionByName(df)

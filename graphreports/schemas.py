@@ -18,7 +18,7 @@ QUAD_COLUMNS = QUADS.names
 # joins over them must keep bag semantics. A row may be repeated; no operator relies on it being
 # there once.
 LINK_TABLES = {
-    "session": ("harvester", "session_uri", "held_by", "planned_start"),
+    "session": ("harvester", "session_uri", "held_by", "planned_start", "has_start"),
     "session_item": ("harvester", "session_uri", "item_uri"),
     "item": ("harvester", "item_uri"),
     "item_title": ("harvester", "item_uri", "title", "title_datatype", "title_lang"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from graphreports.functions.terms import XSD_STRING
@@ -13,7 +15,8 @@ from graphreports.vocabulary import iri
 LANG_STRING = iri("rdf:langString")
 
 _IRI = r"<([^<>\x00-\x20]*+)>"
-_BNODE = r"(_:[^\s<>\"]++)"
+# A label may hold dots but does not end with one: that dot ends the statement.
+_BNODE = r"(_:[^\s<>\".#]++(?:\.++[^\s<>\".#]++)*+)"
 _SUFFIX = r"(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^<([^<>\x00-\x20]*+)>)?"
 
 
@@ -68,18 +71,30 @@ def _with_fields(lines: DataFrame, line: str, *others: Column) -> DataFrame:
     return first.withColumn("fields", F.coalesce(_checked(F.col("first"), c, STATEMENT), second)).drop("first")
 
 
-def parse_nquads(lines: DataFrame, harvester: str | Column, column: str = "value") -> DataFrame:
-    """Quads from a DataFrame of text lines. Lines that are no statement are left out; see
-    :func:`rejected_lines`."""
+def parse_nquads(
+    lines: DataFrame, harvester: str | Column, column: str = "value", scope: str | None = None,
+    observation: Observation | None = None,
+) -> DataFrame:
+    """Quads from a DataFrame of text lines.
+
+    ``scope`` becomes part of every blank-node label, which only means something within its dump.
+    Lines that are no statement are left out. ``observation`` gets ``statements`` and ``rejected``,
+    counted in the same pass, once the quads are computed; :func:`rejected_lines` has the lines."""
     if isinstance(harvester, str):
         harvester = F.lit(harvester)
-    parsed = _with_fields(lines, column, harvester.alias("harvester")).filter(F.col("fields").isNotNull())
+    parsed = _with_fields(lines, column, harvester.alias("harvester"))
+    if observation is not None:
+        read = F.col("fields").isNotNull()
+        bad = F.count_if(~read & ~F.col("line").rlike(IGNORED))
+        parsed = parsed.observe(observation, F.count_if(read).alias("statements"), bad.alias("rejected"))
+    parsed = parsed.filter(F.col("fields").isNotNull())
+    scoped = lambda label: label if scope is None else F.concat(F.lit(f"_:{scope}-"), F.substring(label, 3, 2**31 - 1))
     field = {name: F.col("fields")[i] for i, name in enumerate(_FIELDS)}
     filled = lambda name: field[name] != ""
 
     def resource(kind: str) -> Column:
         return F.when(filled(f"{kind}_iri"), unescape_literal(field[f"{kind}_iri"])).when(
-            filled(f"{kind}_bnode"), field[f"{kind}_bnode"]
+            filled(f"{kind}_bnode"), scoped(field[f"{kind}_bnode"])
         )
 
     is_literal = ~filled("o_iri") & ~filled("o_bnode")
@@ -108,9 +123,16 @@ def rejected_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     return parsed.filter(F.col("fields").isNull() & ~F.col("line").rlike(IGNORED)).select("line")
 
 
-def read_quads(spark: SparkSession, path: str | list[str], harvester: str) -> DataFrame:
-    """Quads of one harvester from N-Quads or N-Triples files; large files are read in splits."""
-    return parse_nquads(spark.read.text(path), harvester)
+def read_quads(
+    spark: SparkSession, path: str | list[str], harvester: str, scope: str | None = None,
+    observation: Observation | None = None,
+) -> DataFrame:
+    """Quads of one harvester from the N-Quads or N-Triples files of one dump; large files are read
+    in splits. Blank nodes are scoped by ``scope``, by default a digest of harvester and path."""
+    paths = [path] if isinstance(path, str) else list(path)
+    if scope is None:
+        scope = hashlib.md5("\n".join([harvester, *paths]).encode()).hexdigest()[:12]
+    return parse_nquads(spark.read.text(paths), harvester, scope=scope, observation=observation)
 
 
 def statement_text() -> Column:

@@ -2,45 +2,25 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 # Namespace table of the published data. Results only match when these are exact.
 PREFIXES = {
-    "besluittype": "https://data.vlaanderen.be/id/concept/BesluitType/",
     "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#",
-    "rdfs": "http://www.w3.org/2000/01/rdf-schema#",
     "mu": "http://mu.semte.ch/vocabularies/core/",
     "task": "http://redpencil.data.gift/vocabularies/tasks/",
     "dct": "http://purl.org/dc/terms/",
     "prov": "http://www.w3.org/ns/prov#",
     "nie": "http://www.semanticdesktop.org/ontologies/2007/01/19/nie#",
     "ext": "http://mu.semte.ch/vocabularies/ext/",
-    "oslc": "http://open-services.net/ns/core#",
     "cogs": "http://vocab.deri.ie/cogs#",
     "adms": "http://www.w3.org/ns/adms#",
     "nfo": "http://www.semanticdesktop.org/ontologies/2007/03/22/nfo#",
-    "dbpedia": "http://dbpedia.org/resource/",
     "besluit": "http://data.vlaanderen.be/ns/besluit#",
-    "besluitvor": "https://data.vlaanderen.be/ns/besluitvorming#",
     "generiek": "https://data.vlaanderen.be/ns/generiek#",
-    "dossier": "https://data.omgeving.vlaanderen.be/ns/dossier#",
     "org": "http://www.w3.org/ns/org#",
-    "eurm8g": "http://data.europa.eu/m8g/",
-    "locn": "http://www.w3.org/ns/locn#",
-    "eli": "http://data.europa.eu/eli/ontology#",
-    "sh": "http://www.w3.org/ns/shacl#",
     "skos": "http://www.w3.org/2004/02/skos/core#",
-    "mandaat": "http://data.vlaanderen.be/ns/mandaat#",
-    "harvesting": "http://lblod.data.gift/vocabularies/harvesting/",
-    "deltas": "http://redpencil.data.gift/vocabularies/deltas/Error",
-    "leidinggevenden": "http://data.lblod.info/vocabularies/leidinggevenden/",
-    "vlaanderenconcept": "https://data.vlaanderen.be/id/concept/",
-    "lblodbesluit": "http://lblod.data.gift/vocabularies/besluit/",
-    "lblodeditor": "http://lblod.data.gift/vocabularies/editor/",
-    "vlaanderenmobiliteit": "https://data.vlaanderen.be/ns/mobiliteit#",
-    "dcterms": "http://purl.org/dc/terms/",
-    "owl": "http://www.w3.org/2002/07/owl#",
-    "rdfa": "http://www.w3.org/ns/rdfa#",
-    "xhv": "http://www.w3.org/1999/xhtml/vocab#",
-    "datamonitoring": "http://lblod.data.gift/vocabularies/datamonitoring/",
+    "monitoring": "http://example.org/ns/monitoring#",
     "xsd": "http://www.w3.org/2001/XMLSchema#",
     "time": "http://www.w3.org/2006/time#",
 }
@@ -62,35 +42,18 @@ RUN_SUCCESS = "http://redpencil.data.gift/id/concept/JobStatus/success"
 RUN_FAILED = "http://redpencil.data.gift/id/concept/JobStatus/failed"
 FINAL_RUN_STATES = (RUN_SUCCESS, RUN_FAILED)
 
-# Defaults for written resources.
-REPORT_GRAPH_BASE = "http://mu.semte.ch/graphs/organizations/"
-REPORT_GRAPH_SUFFIX = "/DMGEBRUIKER"
-RESOURCE_BASE = "http://data.lblod.info/id/"
+# Defaults for written resources; a run names its own (see ``Names``).
+REPORT_NAMESPACE = PREFIXES["monitoring"]
+REPORT_GRAPH_BASE = "http://example.org/graphs/organizations/"
+REPORT_GRAPH_SUFFIX = "/reports"
+RESOURCE_BASE = "http://example.org/id/"
+LOCAL_TIMEZONE = "Europe/Brussels"
+
+# Graphs of jobs and of organisations.
 JOB_GRAPH = "http://mu.semte.ch/graphs/job"
 ORGANISATION_GRAPH = "http://mu.semte.ch/graphs/public"
-LOCAL_TIMEZONE = "Europe/Brussels"
 
-# Enumerations written as URIs, key to URI.
-JOB_STATUS = {
-    "BUSY": "http://lblod.data.gift/vocabularies/datamonitoring/status/busy",
-    "NOT_STARTED": "http://lblod.data.gift/vocabularies/datamonitoring/status/not-started",
-    "FINISHED": "http://lblod.data.gift/vocabularies/datamonitoring/status/finished",
-    "ERROR": "http://lblod.data.gift/vocabularies/datamonitoring/status/failed",
-}
-JOB_TEMPLATE_STATUS = {
-    "ACTIVE": "http://lblod.data.gift/vocabularies/datamonitoring/status/active",
-    "NOT_STARTED": "http://lblod.data.gift/vocabularies/datamonitoring/status/not-started",
-    "FINISHED": "http://lblod.data.gift/vocabularies/datamonitoring/status/finished",
-    "INACTIVE": "http://lblod.data.gift/vocabularies/datamonitoring/status/inactive",
-}
-JOB_TYPE = {
-    "SERIAL": "http://lblod.data.gift/vocabularies/datamonitoring/task-type/serial",
-    "PARALLEL": "http://lblod.data.gift/vocabularies/datamonitoring/task-type/parallel",
-}
-JOB_TEMPLATE_TYPE = {
-    "PERIODIC": "http://lblod.data.gift/vocabularies/datamonitoring/job-type/periodic",
-    "REST_INVOKED": "http://lblod.data.gift/vocabularies/datamonitoring/job-type/rest-invoked",
-}
+# Days as URIs.
 DAY_OF_WEEK = {
     "MONDAY": "http://www.w3.org/2006/time#Monday",
     "TUESDAY": "http://www.w3.org/2006/time#Tuesday",
@@ -100,22 +63,6 @@ DAY_OF_WEEK = {
     "SATURDAY": "http://www.w3.org/2006/time#Saturday",
     "SUNDAY": "http://www.w3.org/2006/time#Sunday",
 }
-MONITORING_FUNCTION = {
-    "COUNT_RESOURCES": "http://lblod.data.gift/vocabularies/datamonitoring/dm-function/count-resources",
-    "CHECK_HARVESTING_EXECUTION_TIME": "http://lblod.data.gift/vocabularies/datamonitoring/dm-function/check-harvesting-execution-time",
-    "DUMMY": "http://lblod.data.gift/vocabularies/datamonitoring/dm-function/dummy",
-    "CHECK_MATURITY_LEVEL": "http://lblod.data.gift/vocabularies/datamonitoring/dm-function/check-maturity-level",
-    "CHECK_SESSION_TIMESTAMPS": "http://lblod.data.gift/vocabularies/datamonitoring/dm-function/check-session-timestamp",
-    "DECISION_REPORT_DAILY": "http://lblod.data.gift/vocabularies/datamonitoring/dm-function/decision-report-daily",
-}
-ENUMERATIONS = {
-    "job_status": JOB_STATUS,
-    "job_type": JOB_TYPE,
-    "job_template_type": JOB_TEMPLATE_TYPE,
-    "job_template_status": JOB_TEMPLATE_STATUS,
-    "day_of_week": DAY_OF_WEEK,
-    "monitoring_function": MONITORING_FUNCTION,
-}
 
 # Label of each count metric, in report order.
 METRIC_LABELS = {
@@ -137,3 +84,18 @@ def iri(short: str) -> str:
 
 RDF_TYPE = iri("rdf:type")
 REPEAT_FREQUENCY = "http://schema.org/repeatFrequency"
+
+
+@dataclass(frozen=True)
+class Names:
+    """Where written resources live: namespace of report terms, base of resources, base and suffix of report graphs."""
+
+    namespace: str = REPORT_NAMESPACE
+    resource_base: str = RESOURCE_BASE
+    graph_base: str = REPORT_GRAPH_BASE
+    graph_suffix: str = REPORT_GRAPH_SUFFIX
+
+    def iri(self, short: str) -> str:
+        """Full IRI of a ``prefix:local`` name; ``monitoring:`` is this namespace."""
+        prefix, local = short.split(":", 1)
+        return self.namespace + local if prefix == "monitoring" else iri(short)

@@ -9,9 +9,14 @@ from checks.compare import session  # noqa: E402
 from graphreports.runtime import configure  # noqa: E402
 
 
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [sys.path[0], os.environ.get("PYTHONPATH")]))  # for Python workers
+
+
 @pytest.fixture(scope="session")
-def spark():
-    return configure(session("4"))
+def spark(tmp_path_factory):
+    spark = configure(session("4"))
+    spark.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
+    return spark
 
 
 @pytest.fixture

@@ -6,7 +6,7 @@ from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
 from graphreports.functions import labels, terms, text, times, uris
-from graphreports.vocabulary import JOB_STATUS, MUNICIPALITY, WELFARE_CENTRE, iri
+from graphreports.vocabulary import DAY_OF_WEEK, MUNICIPALITY, WELFARE_CENTRE, iri
 
 
 def values(rows, function, *inputs, type="string"):
@@ -45,8 +45,8 @@ def test_unescape_long_text_with_many_escapes(rows):
 
 
 def test_expand_uri(rows):
-    assert values(rows, uris.expand_uri, "besluit:Zitting", "eurm8g:x", "nowhere:x", "http://a.b/c", None) == [
-        "http://data.vlaanderen.be/ns/besluit#Zitting", "http://data.europa.eu/m8g/x", None, "http://a.b/c", None,
+    assert values(rows, uris.expand_uri, "besluit:Zitting", "mu:x", "nowhere:x", "http://a.b/c", None) == [
+        "http://data.vlaanderen.be/ns/besluit#Zitting", "http://mu.semte.ch/vocabularies/core/x", None, "http://a.b/c", None,
     ]
 
 
@@ -70,10 +70,10 @@ def test_is_plain_uri(rows, uri, plain):
 
 
 def test_enumerations(rows):
-    assert values(rows, uris.enum_key, JOB_STATUS["ERROR"], "x") == ["ERROR", None]
-    assert values(rows, lambda c: uris.enum_uri(c, "job_status"), "busy", "x") == [JOB_STATUS["BUSY"], None]
+    assert values(rows, lambda c: uris.enum_key(c, DAY_OF_WEEK), DAY_OF_WEEK["SUNDAY"], "x") == ["SUNDAY", None]
+    assert values(rows, lambda c: uris.enum_uri(c, DAY_OF_WEEK), "monday", "x") == [DAY_OF_WEEK["MONDAY"], None]
     with pytest.raises(SparkRuntimeException, match="unknown enumeration URI"):
-        values(rows, lambda c: uris.enum_key(c, strict=True), "x")
+        values(rows, lambda c: uris.enum_key(c, DAY_OF_WEEK, strict=True), "x")
 
 
 def test_stable_id_has_uuid_form_and_tells_null_from_text(rows):
@@ -168,4 +168,4 @@ def test_decode_never_fails(rows):
 
 def test_report_texts(rows):
     assert values(rows, labels.unit_kind, MUNICIPALITY, WELFARE_CENTRE) == ["gemeente", "provincie"]
-    assert values(rows, labels.report_graph, "7") == ["http://mu.semte.ch/graphs/organizations/7/DMGEBRUIKER"]
+    assert values(rows, labels.report_graph, "7") == ["http://example.org/graphs/organizations/7/reports"]

@@ -194,7 +194,7 @@ def _quad(s, p, o, kind="iri", g="g"):
 
 
 def test_report_is_replaced_with_parts_and_inbound_links(rows):
-    dm = lambda name: iri(f"datamonitoring:{name}")
+    dm = lambda name: iri(f"monitoring:{name}")
     cls = dm("GoverningBodyCountReport")
 
     def report(uri, stamp, g="g"):
@@ -221,3 +221,23 @@ def test_properties_are_set_together_or_not_at_all(rows):
     assert sorted((r.s, r.p, r.o) for r in got.collect() if r.p != RDF_TYPE) == [
         ("a", "modified", "2"), ("a", "status", "new"), ("b", "status", "old"), ("c", "modified", "1"), ("c", "status", "old"),
     ]
+
+
+def test_deletes_reach_blank_nodes_and_quads_without_graph(rows):
+    from graphreports.schemas import QUADS
+
+    quads = rows(
+        QUADS, ("h", None, "_:n", "p", "x", "literal", None, None), ("h", None, "s", "q", "_:n", "bnode", None, None),
+        ("h", None, "s", "q", "_:n", "literal", None, None), ("h", "g", "_:n", "p", "x", "literal", None, None),
+    )
+    left = rewrite.delete_subjects(quads, rows("harvester string, g string, s string", ("h", None, "_:n")), inbound=True)
+    assert sorted((str(r.g), r.s, r.o_kind) for r in left.collect()) == [("None", "s", "literal"), ("g", "_:n", "literal")]
+
+
+def test_ids_of_different_keys_differ(rows):
+    from pyspark.sql import functions as F
+
+    from graphreports.functions.uris import stable_id
+
+    ids = rows("a string, b string", ("a|b", "c"), ("a", "b|c"), ("1:a", ""), (None, "a")).select(stable_id(F.col("a"), F.col("b")))
+    assert ids.distinct().count() == 4

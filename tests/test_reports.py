@@ -47,7 +47,7 @@ def test_quads_of_a_report(rows):
         ("h", "g", "r", "id", datetime(2024, 3, 31, 1, 30), DAY, "it's", datetime(2024, 10, 27, 12), None),
     )
     quads = {(q.p, q.o, q.o_datatype) for q in reports_to_quads(row, RESOURCES["session_timestamp_report"]).collect()}
-    dm = lambda name: iri(f"datamonitoring:{name}")
+    dm = lambda name: iri(f"monitoring:{name}")
     assert quads == {
         (RDF_TYPE, dm("SessionTimestampReport"), None),
         (dm("createdAt"), "2024-03-31T01:30:00+01:00", iri("xsd:dateTime")),
@@ -78,3 +78,22 @@ def test_parameters_are_values_not_text(spark, rows):
     frame = rows("name string", ("x' or '1'='1",), ("y",))
     got = query(spark, "select name from {t} where name = :n", {"t": frame}, n="x' or '1'='1")
     assert got.count() == 1
+
+
+def test_reports_are_computed_once_when_written(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows_ = spark.range(10).select(F.col("id").cast("string").alias("unit_uri"), F.lit("h").alias("harvester"), F.lit(DAY).alias("day"))
+    made = rows_.mapInPandas(count, rows_.schema)
+    for turn in (1, 2):
+        write_reports(made, str(tmp_path / "r"), ["harvester", "unit_uri"], DAY)
+        assert seen.value == 10 * turn
+    assert spark.read.parquet(str(tmp_path / "r")).count() == 10
+    assert [p.name for p in tmp_path.iterdir()] == ["r"]

@@ -1,6 +1,7 @@
 from datetime import date
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from graphreports.schemas import QUADS
@@ -43,10 +44,24 @@ def test_long_literals_are_read_whole(spark, rows):
 
 
 def test_text_files_round_trip(spark, rows, tmp_path):
-    quads = nquads.parse_nquads(rows("value string", *[(line,) for line in LINES]), "h")
-    nquads.write_nquads(quads.repartition(3), str(tmp_path / "nq"))
-    again = nquads.read_quads(spark, str(tmp_path / "nq"), "h")
-    assert sorted(map(str, again.collect())) == sorted(map(str, quads.collect()))
+    lines = rows("value string", *[(line,) for line in LINES])
+    nquads.write_nquads(nquads.parse_nquads(lines, "h").repartition(3), str(tmp_path / "nq"))
+    seen = Observation()
+    again = nquads.read_quads(spark, str(tmp_path / "nq"), "h", scope="d", observation=seen).collect()
+    assert sorted(map(str, again)) == sorted(map(str, nquads.parse_nquads(lines, "h", scope="d").collect()))
+    assert seen.get == {"statements": 5, "rejected": 0}
+
+
+def test_blank_nodes(spark, rows, tmp_path):
+    lines = rows("value string", ("<s:s> <p:p> _:b2.",), ("<s:s> <p:p> _:b.2 _:g.",), ("_:b. <p:p> <o:o> .",))
+    seen = Observation()
+    got = nquads.parse_nquads(lines, "h", scope="one", observation=seen).collect()
+    assert [(r.o, r.g) for r in got] == [("_:one-b2", None), ("_:one-b.2", "_:one-g")]
+    assert seen.get == {"statements": 2, "rejected": 1}
+    lines.limit(1).write.text(str(tmp_path / "a"))
+    lines.limit(1).write.text(str(tmp_path / "b"))
+    nodes = {nquads.read_quads(spark, str(tmp_path / d), "h").first().o for d in "ab"}
+    assert len(nodes) == 2, "equal labels of two dumps are two nodes"
 
 
 def _quads(rows, *triples, harvester="h"):
@@ -69,6 +84,34 @@ def test_store_prunes_to_one_predicate(spark, rows, tmp_path):
     assert one.count() == 2
 
 
+def test_a_new_harvest_replaces_all_of_its_harvester(spark, rows, tmp_path):
+    path = str(tmp_path / "store")
+    store.write_quads(_quads(rows, ("s", "p1", "o"), ("s", "p2", "o")), path)
+    store.write_quads(_quads(rows, ("s", "p2", "o"), harvester="other"), path)
+    store.write_quads(_quads(rows, ("s", "p1", "new")), path)
+    got = sorted((r.harvester, r.p, r.o) for r in store.load_quads(spark, path).collect())
+    assert got == [("h", "p1", "new"), ("other", "p2", "o")]
+
+
+def test_starts_of_any_form_count(spark, rows):
+    from graphreports.operators.sessions import on_day, with_planned_start
+
+    starts = {"a": "2024-05-02", "b": "2024-05-01T22:30:00+0000", "c": "2024-05-02T01:30:00.250+02:00", "d": "soon", "e": "2024-05-01T23:59:59", "f": None}
+    triples = []
+    for s, start in starts.items():
+        triples += [(s, RDF_TYPE, iri("besluit:Zitting")), (s, iri("besluit:isGehoudenDoor"), "body")]
+        triples += [(s, iri("besluit:geplandeStart"), start, "literal")] if start else []
+    table = links.session_table(_quads(rows, *triples))
+    assert {r.session_uri for r in with_planned_start(table).collect()} == set("abcde")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    for z in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", z)
+        assert {r.session_uri for r in on_day(table, date(2024, 5, 2)).collect()} == set("abc")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    with pytest.raises(TypeError):
+        on_day(table.withColumn("planned_start", F.lit("x")), date(2024, 5, 2))
+
+
 def test_star_needs_every_property_and_keeps_every_value(rows):
     quads = _quads(
         rows, ("a", RDF_TYPE, "C"), ("b", RDF_TYPE, "C"), ("a", "p", "1"), ("a", "p", "2"), ("a", "q", "x"), ("b", "p", "1")
