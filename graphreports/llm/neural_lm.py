@@ -192,7 +192,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, unigram: np.ndarray) -> Model
             flat = own.flat()
             yield pd.DataFrame({"k": np.arange(len(flat)), "total": flat.astype(np.float64) * trainer.seen, "seen": float(trainer.seen)})
 
-        sums = docs.select("text").mapInPandas(learn, "k int, total double, seen double").groupBy("k").agg((F.sum("total") / F.sum("seen")).alias("mean"))
+        sums = docs.select("text").mapInPandas(learn, "k int, total double, seen double").groupBy("k").agg(F.try_divide(F.sum("total"), F.sum("seen")).alias("mean"))
         rows = sums.filter("mean is not null and not isnan(mean)").toPandas().sort_values("k")
         if len(rows) == len(model.flat()):
             model.load(rows["mean"].to_numpy())

@@ -9,6 +9,7 @@ anew, in far fewer blocks, and evolved once more, so that blocks cost hardly any
 
 from __future__ import annotations
 
+import os
 import random
 import zlib
 from collections.abc import Iterator
@@ -23,46 +24,82 @@ LENGTH = 2048
 BLOCK = 1500  # pieces of a block, about
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 4, 3
 FULL = 0.995  # bins filled less are dealt anew
-CACHE = 300_000  # words whose ids a worker remembers
-_cache: dict[str, dict[bytes, bytes]] = {}
-_tokenizers: dict[str, object] = {}
+CACHE = 500_000  # words in each of the two generations a worker remembers
+_ENDINGS = b".,!?;:*%&#$|"
 
 
-def _ids_of(texts: list[str], path: str, separator: int) -> list[bytes]:
-    """Ids of each text and the separator, as little-endian 32-bit numbers.
+class Words:
+    """Ids of words as little-endian 32-bit numbers, each word encoded once while it is in use.
 
-    White space ends every token of this vocabulary, so a text's ids are those of its words, each looked up once.
+    White space ends every token of the vocabulary and A-Z count as a-z, so a text's ids are those of its lower-case words;
+    signs after an ASCII letter are a token of their own, so that a word is encoded once whatever follows it. When the words in
+    use are too many, those not used since the last time are forgotten.
     """
-    from tokenizers import Tokenizer
-
-    if path not in _tokenizers:
-        _tokenizers[path] = Tokenizer.from_file(path)
-    known = _cache.setdefault(path, {})
-    end, out = np.array([separator], "<u4").tobytes(), []
-    for text in texts:
-        found = (text or "").encode("utf-8", "replace").split()
-        new = list({w for w in found if w not in known})
-        if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(set(found))
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                made = _tokenizers[path].encode_batch([w.decode() for w in part], add_special_tokens=False)
-                known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, made, strict=True))
-        out.append(b"".join([known[w] for w in found]) + end)
-    return out
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
+
+    def _encode(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 1024):
+            part = words[at : at + 1024]
+            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
+                self.young[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _learn(self, found: list[bytes]) -> None:
+        young, old = self.young, self.old
+        if len(young) > CACHE:
+            self.old, self.young = young, {}
+            young, old = self.young, self.old
+        parts, new = {}, set()
+        for w in set(found):
+            if w in young:
+                continue
+            if w in old:
+                young[w] = old[w]
+                continue
+            core = w.rstrip(_ENDINGS)
+            pair = (core, w[len(core) :]) if core != w and core[-1:].isalpha() else (w,)
+            parts[w] = pair
+            for x in pair:
+                if x in old:
+                    young[x] = old[x]
+                elif x not in young:
+                    new.add(x)
+        self._encode(sorted(new))
+        for w, pair in parts.items():
+            if len(pair) > 1:
+                young[w] = young[pair[0]] + young[pair[1]]
+
+    def ids(self, text: str | None) -> bytes:
+        raw = (text or "").encode("utf-8", "replace")
+        if b"<|" in raw:  # may hold the name of a special token, which is read before case is
+            return np.array(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        found = raw.lower().split()
+        try:
+            return b"".join([self.young[w] for w in found])
+        except KeyError:
+            self._learn(found)
+            return b"".join([self.young[w] for w in found])
+
+
+_words: dict[str, Words] = {}
 
 
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, separator: int = 0) -> DataFrame:
     """Pieces of every document: doc_id, piece, start, length, ids_crc32."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = _words.get(path) or _words.setdefault(path, Words(path))
+        end = np.array([separator], "<u4").tobytes()
         for b in batches:
             for at in range(0, len(b), 500):
                 part = b.iloc[at : at + 500]
                 rows = []
-                for k, ids in enumerate(_ids_of(part["text"].tolist(), path, separator)):
+                for k, text in enumerate(part["text"]):
+                    ids = words.ids(text) + end
                     for start in range(0, len(ids), 4 * length):
                         chunk = ids[start : start + 4 * length]
                         rows.append((k, start // (4 * length), start // 4, len(chunk) // 4, zlib.crc32(chunk)))

@@ -29,7 +29,7 @@ SEED = ("idiot", "moron", "stupid", "dumb", "loser", "trash", "garbage", "scum",
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch sie tu te toi ton ta vous votre tú ti usted ustedes vos".split())
 NEAR = 3  # words between an address and a lexicon word
 FEATURES = ("seed", "seed_rate", "strong", "strong_rate", "learned", "learned_rate", "weight", "top_weight", "different", "addressed", "addressed_rate", "person_rate", "capitals", "exclamations", "questions", "punctuation", "obfuscated", "length")
-_LEET = str.maketrans("013457@$!", "oleastasi")
+_LEET = str.maketrans("013457@$!", "oieastasi")
 _MIXED = re.compile(r"[^\W\d_][\d@$*!]+[^\W\d_]")
 _WORD = re.compile(r"[^\W_](?:[\w@$*!']*[^\W_])?")
 
