@@ -291,7 +291,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, separator: int = 0, b
     once = cut_lineage(_packed(first, _islands(first, *settings), length))
     good = F.col("used") >= FULL * length
     loose = once.filter(~good).select(*fields)
-    second = _dealt(loose, loose.count(), 2 * block, 2)
+    second = _dealt(loose, loose.count(), 4 * block, 2)
     again = _packed(second, _islands(second, *settings), length)
     # Ids: rounds 0 to 2 in the top bits; full pieces by place in their partition, bins by block.
     number = lambda turn, block_id, bin_id: F.lit(turn * (1 << 60)).cast("long") + block_id * 65536 + bin_id
