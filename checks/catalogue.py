@@ -636,8 +636,8 @@ _FIRST = "https://harvester-0.example.org/sparql"
 
 @register(
     "reharvest",
-    "select harvester, p, count(*) as n from (select harvester, p from {q_session} union all"
-    f" select harvester, p from {{q_item}} where harvester = '{_FIRST}') group by all",
+    f"select harvester, p, count(*) as n from (select distinct * from (select {QUAD_COLUMNS} from {{q_session}} union all"
+    f" select {QUAD_COLUMNS} from {{q_item}} where harvester = '{_FIRST}')) group by all",
 )
 def _(p):
     """A second harvest of all harvesters but one, which has no predicates of items any more."""
