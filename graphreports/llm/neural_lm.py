@@ -61,6 +61,24 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def head_words(counts: DataFrame, most: int = HEAD) -> list[tuple[str, int]]:
+    """The most frequent words, at most ``most``, with their counts in descending order.
+
+    The least count they must have is found in a histogram of some hundred classes of counts, so that neither
+    the driver nor one task ever sees more words than are kept.
+    """
+    level = F.floor(F.log("n") * 32).cast("int")
+    least, total = None, 0
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        total += r["count"]
+        if total > most:
+            break
+        least = r["level"]
+    if least is None:
+        return []
+    return sorted(((r["word"], r["n"]) for r in counts.filter(level >= least).collect()), key=lambda w: (-w[1], w[0]))
+
+
 def _of_class(word: Column) -> Column:
     """``word_class`` in the JVM."""
     return (1 + FREQUENT + F.crc32(F.substring(word.cast("binary"), 1, 2)) % CLASSES).cast("int")
@@ -212,7 +230,7 @@ def score(docs: DataFrame) -> DataFrame:
     counts = stored(count_words(learned), "word-counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("words"), F.coalesce(F.sum(F.when(F.col("word") == "", F.col("n"))), F.lit(0)).alias("ends")).first()
     n, v, ends = total["tokens"], total["words"], total["ends"]
-    head = [(r["word"], r["n"]) for r in counts.filter("word <> ''").orderBy(F.desc("n"), "word").limit(HEAD).collect()]
+    head = head_words(counts.filter("word <> ''"))
     vocabulary = Vocabulary(head)
     frequent = {w for w, _ in head[:FREQUENT]}
     rarer = counts.filter("word <> ''").filter(~F.col("word").isin(list(frequent)))
