@@ -231,7 +231,9 @@ def components_of(hashed: DataFrame, bound: int = BOUND) -> DataFrame:
     """(doc_id, fp) of documents to (doc_id, fp, component_id)."""
     fps = cut_lineage(hashed.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
     n, joint = bit_counts(fps)
-    sample = fps.orderBy(F.xxhash64("fp", F.lit(3)), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    place = F.xxhash64("fp", F.lit(3))
+    near = fps.filter(F.pmod(place, F.lit(max(n, 1))) < 2 * SAMPLE)  # about twice as many, from all partitions together
+    sample = near.orderBy(place, "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     plan = allocate(n, joint, sample, bound)
     roots = components(links(fps, plan, bound)).withColumnRenamed("node", "fp")
     grouped = fps.join(roots, "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
