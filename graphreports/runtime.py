@@ -26,27 +26,32 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def file_system(spark: SparkSession, path: str):
+    """A path of any of the cluster's file systems, and that file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the one ``spark.checkpoint.dir`` names or, where that is unset,
-    a folder of the warehouse, which driver and executors share too."""
+    """The application's own folder in the shared one: that ``spark.checkpoint.dir`` names or, where it
+    is unset, one in the warehouse, which driver and executors share too. It goes with the application."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         warehouse = spark.conf.get("spark.sql.warehouse.dir")
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse.rstrip('/')}/_checkpoints")
+    place, fs = file_system(spark, sc.getCheckpointDir())
+    fs.deleteOnExit(place)
     return sc.getCheckpointDir()
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; it is removed when the application ends."""
-    path = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return path
+    """A new path in the application's shared folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    place, fs = file_system(spark, path)
+    fs.delete(place, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
