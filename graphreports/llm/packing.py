@@ -41,22 +41,30 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
+        self.model = self.tokenizer.model
 
     def _encode(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 1024):
-            part = words[at : at + 1024]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.young[w] = np.array(e.ids, "<u4").tobytes()
-
-    def _learn(self, found: list[bytes]) -> None:
+        other = []
+        for w in words:
+            if w.isalpha():  # lower-case ASCII letters: one piece, which the steps before the model leave as it is
+                self.young[w] = np.array([t.id for t in self.model.tokenize(w.decode())], "<u4").tobytes()
+            else:
+                other.append(w)
+        for at in range(0, len(other), 1024):
+            part = other[at : at + 1024]
+            e = self.tokenizer.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
+            cuts = np.searchsorted(e.word_ids, np.arange(len(part) + 1))
+            coded = np.array(e.ids, "<u4").tobytes()
+            for w, i, j in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                self.young[w] = coded[4 * i : 4 * j]
+
+    def _learn(self, words: set[bytes]) -> None:
         young, old = self.young, self.old
         if len(young) > CACHE:
             self.old, self.young = young, {}
             young, old = self.young, self.old
         parts, new = {}, set()
-        for w in set(found):
-            if w in young:
-                continue
+        for w in words:
             if w in old:
                 young[w] = old[w]
                 continue
@@ -78,11 +86,11 @@ class Words:
         if b"<|" in raw:  # may hold the name of a special token, which is read before case is
             return np.array(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         found = raw.lower().split()
-        try:
-            return b"".join([self.young[w] for w in found])
-        except KeyError:
-            self._learn(found)
-            return b"".join([self.young[w] for w in found])
+        got = list(map(self.young.get, found))
+        if None in got:
+            self._learn({w for w, x in zip(found, got, strict=True) if x is None})
+            got = [self.young[w] if x is None else x for w, x in zip(found, got, strict=True)]
+        return b"".join(got)
 
 
 _words: dict[str, Words] = {}
