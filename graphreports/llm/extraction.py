@@ -17,13 +17,27 @@ from pyspark.sql import DataFrame, functions as F
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>\"[^\"]*\"|'[^']*'|[^>\"'])*+)>?", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_MAY_HIDE = re.compile(r"hidden|display", re.I)
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _PART = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 # Elements whose text is never read, with all they hold.
-DROPPED = frozenset("script style noscript template textarea select option button svg math iframe object canvas head title datalist audio video".split())
-RAW = frozenset("script style noscript template textarea title iframe svg".split())
+DROPPED = frozenset("script style noscript template textarea select option button svg math iframe object canvas title datalist audio video".split())
+RAW = frozenset("script style noscript textarea title iframe".split())
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I | re.A) for name in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+# Elements whose end tag may be left out, with the start tags that end them.
+_CELLS = frozenset("td th tr tbody thead tfoot".split())
+_ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dd dt".split())
+ENDED_BY = {"p": _ENDS_P, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": _CELLS, "th": _CELLS, "tr": _CELLS - {"td", "th"}}
+ENDED_BY |= {x: frozenset("tbody thead tfoot".split()) for x in ("tbody", "thead", "tfoot")}
+ENDED_BY |= {"option": frozenset(["option", "optgroup"]), "optgroup": frozenset(["optgroup"])}
+_LISTED = frozenset("li dt dd".split())
+_BOUNDS = frozenset("table td th caption template".split())  # no end tag of an element around these is read inside them
+FOREIGN = frozenset(["svg", "math"])
+# Start tags of HTML, which end an open svg or math.
+_HTML_ONLY = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 AWAY = frozenset("nav footer aside form menu dialog".split())
 HERE = frozenset("article main".split())
 AWAY_WORDS = frozenset(
@@ -47,6 +61,17 @@ def _names(attributes: str) -> set[str]:
     return {p.lower() for m in _NAMES.findall(attributes) for p in _PART.findall(m)}
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether ``hidden``, ``aria-hidden="true"`` or ``display: none`` is among the attributes; words inside other values do not count."""
+    if not _MAY_HIDE.search(attributes):
+        return False
+    for name, value in _ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        if name == "hidden" or (name == "aria-hidden" and value.strip("\"' \t\n").lower() == "true") or (name == "style" and _NO_DISPLAY.search(value)):
+            return True
+    return False
+
+
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order, with white space made single. ``path`` names the ancestors of a block by number."""
     out: list[Block] = []
@@ -64,7 +89,7 @@ def blocks(page: str) -> list[Block]:
             text.clear()
         links = 0
 
-    at, low, n = 0, None, len(page)
+    at, n = 0, len(page)
     while at < n:
         m = _TAG.search(page, at)
         piece = page[at : m.start() if m else n]
@@ -81,7 +106,7 @@ def blocks(page: str) -> list[Block]:
         if name in INLINE:
             if name == "a":
                 in_link = 0 if ending else 1
-            if not (attributes and not ending and _HIDDEN.search(attributes)):
+            if not (attributes and not ending and _hidden(attributes)):
                 continue
         if name == "br" or name == "wbr" or name == "img":
             if name != "wbr":
@@ -95,9 +120,12 @@ def blocks(page: str) -> list[Block]:
                     del stack[k:]
                     break
             continue
-        if name in DROPPED or (attributes and name not in VOID and _HIDDEN.search(attributes)):
-            low = low or page.lower()
-            at = _after(page, low, name, at)
+        if name == "head":  # what is never read in it is dropped by name; it ends where anything else begins
+            continue
+        if name in FOREIGN and attributes.endswith("/"):
+            continue
+        if name in DROPPED or (attributes and name not in VOID and _hidden(attributes)):
+            at = _after(page, name, at, {s[0] for s in stack[1:]})
             continue
         if name in VOID:
             continue
@@ -121,18 +149,53 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def _after(page: str, low: str, name: str, at: int) -> int:
-    """Where the element that opened before ``at`` ends."""
-    depth = 1
-    for m in re.finditer(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*>?", low[at:] if name not in RAW else ""):
-        depth += -1 if m[1] else 1
-        if not depth:
-            return at + m.end()
+def _raw_end(page: str, name: str, at: int) -> int:
+    m = _RAW_END[name].search(page, at)
+    return m.end() if m else len(page)
+
+
+def _after(page: str, name: str, at: int, around: set[str]) -> int:
+    """Where the element that opened before ``at`` ends: after its end tag or, where that is left out, before the tag that implies it.
+
+    ``around`` names the elements it is in. Only raw text without an end tag goes on to the end of the page, as in HTML.
+    """
     if name in RAW:
-        stop = low.find(f"</{name}", at)
-        stop = low.find(">", stop) if stop >= 0 else -1
-        return stop + 1 if stop >= 0 else len(page)
-    return len(page)
+        return _raw_end(page, name, at)
+    if name in _ENDS_P:
+        around = around - {"p"}
+    inner, n = [name], len(page)
+    while at < n:
+        m = _TAG.search(page, at)
+        if not m:
+            break
+        at = m.end()
+        if not m[2]:
+            continue
+        tag, attributes = m[2].lower(), m[3] or ""
+        if m[1]:
+            if tag in inner:
+                while inner.pop() != tag:
+                    pass
+                if not inner:
+                    return at
+            elif tag in around and (_BOUNDS.isdisjoint(inner) or ((tag in _CELLS or tag == "table") and "table" not in inner and "template" not in inner)):
+                return m.start()
+            continue
+        if inner[0] in FOREIGN and tag in _HTML_ONLY and {"foreignobject", "desc", "title", "annotation-xml"}.isdisjoint(inner):
+            return m.start()
+        for k in range(len(inner) - 1, -1, -1):
+            if tag in ENDED_BY.get(inner[k], ()):
+                del inner[k:]
+            elif inner[k] not in INLINE and inner[k] not in ENDED_BY and not (tag in _LISTED and inner[k] in ("div", "address")):
+                break
+        else:  # nothing between keeps the tag from ending what is open here, or what is open around
+            if not inner or any(tag in ENDED_BY.get(x, ()) for x in around):
+                return m.start()
+        if tag in RAW:
+            at = _raw_end(page, tag, at)
+        elif tag not in VOID and not (attributes.endswith("/") and (tag in FOREIGN or not FOREIGN.isdisjoint(inner))):
+            inner.append(tag)
+    return n
 
 
 def evidence(b: Block) -> float:

@@ -137,6 +137,32 @@ def test_long_pages_are_read_whole():
     assert isinstance(extraction.main_text(flat), str)
 
 
+@pytest.mark.parametrize(
+    ("page", "seen"),
+    [
+        ("<html><head><title>T</title><meta charset=utf-8><body><article><p>{0}</p></article>", "{0}"),
+        ("<head><title>T</title><article><p>{0}</p></article>", "{0}"),
+        ("<article><p hidden>secret<p>{0}</article>", "{0}"),
+        ("<article><p hidden>secret<div>{0}</div></article>", "{0}"),
+        ("<article><ul><li hidden>secret<ul><li>deep</ul><li>{0}</ul></article>", "{0}"),
+        ("<article><ul><li hidden>secret</ul><p>{0}</p></article>", "{0}"),
+        ("<article><table><tr><td hidden>secret<td>{0}</table></article>", "{0}"),
+        ("<article><ul><li><span hidden>secret<li>{0}</ul></article>", "{0}"),
+        ("<article><p><span hidden>secret</p><p>{0}</p></article>", "{0}"),
+        ("<article><div hidden><p>secret<div>secret</div>secret</div><p>{0}</p></article>", "{0}"),
+        ("<article><svg width='1'/><p>{0}</p><svg><path/><text>no</text></svg></article>", "{0}"),
+        ("<article><svg><g><svg/></g><text>no</text></svg><p>{0}</p></article>", "{0}"),
+        ("<article><svg><text>no<p>{0}</p></article>", "{0}"),
+        ("<article><p class='x hidden y' title='display: none'>{0}</p></article>", "{0}"),
+        ("<article><p aria-hidden=true>secret</p><p style='color:red; display : none'>secret</p><p>{0}</p></article>", "{0}"),
+        ("<article><p>" + "\u0130" * 40 + "</p><script>x</script><p>{0}</p></article>", "\u0130" * 40 + "{0}"),
+    ],
+)
+def test_only_what_is_hidden_is_dropped(page, seen):
+    told = "The sentence that is seen here, which is long enough. It goes on, and ends."
+    assert "".join(b.text for b in extraction.blocks(page.format(told))) == seen.format(told)
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(4)
     for _ in range(150):
