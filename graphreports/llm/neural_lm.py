@@ -22,7 +22,7 @@ from graphreports.llm.common import stored
 FREQUENT, CLASSES = 160, 95  # outcomes 1 to FREQUENT are words, the rest classes; outcome 0 is the end
 SIZE = 1 + FREQUENT + CLASSES
 CONTEXT, DIM, NOISE = 4, 16, 64
-STRIDE, ROUNDS, RATE, BATCH = 24, 2, 0.15, 1024  # one window of STRIDE tokens is trained on, everywhere, in each round
+ROUNDS, RATE, BATCH = 2, 0.15, 1024  # the rounds share out the positions of every text, so that each is trained on once
 HEAD = 150_000  # words whose counts every task holds; the counts of all others are joined
 END = b""
 
@@ -119,43 +119,63 @@ class Model:
         return (chosen - top - np.log(logits.sum(axis=1))).astype(np.float64)
 
 
+def _by_row(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows of ``index`` and the sum of the values of each."""
+    order = np.argsort(index, kind="stable")
+    index = index[order]
+    starts = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
+    return index[starts], np.add.reduceat(values[order], starts, axis=0)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
 class Trainer:
-    """Noise-contrastive steps on a model's own copy, with AdaGrad. A batch shares its noise words."""
+    """Noise-contrastive steps on a model's own copy, with AdaGrad on the rows a step touches. A batch shares its noise words."""
 
     def __init__(self, model: Model, seed: int):
         self.m, self.rng = model, np.random.default_rng(seed)
         self.sums = {n: np.full(getattr(model, n).shape, 1e-2, np.float32) for n in "rqcb"}
         self.cumulative = np.cumsum(model.noise)
+        self.expected = np.log(NOISE * model.noise).astype(np.float32)
         self.seen = 0
 
-    def _apply(self, name: str, gradient: np.ndarray) -> None:
-        self.sums[name] += gradient * gradient
-        getattr(self.m, name)[...] -= RATE * gradient / np.sqrt(self.sums[name])
+    def _apply(self, name: str, rows: np.ndarray | slice, gradient: np.ndarray) -> None:
+        sums = self.sums[name][rows] + gradient * gradient
+        self.sums[name][rows] = sums
+        getattr(self.m, name)[rows] -= RATE * gradient / np.sqrt(sums)
 
     def step(self, before: np.ndarray, outcome: np.ndarray) -> None:
         m, n = self.m, len(outcome)
         noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE)), SIZE - 1)
         h = m.context(before)
-        expected = (np.log(NOISE * m.noise)).astype(np.float32)
-        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-        for_true = sigmoid((h * m.q[outcome]).sum(axis=1) + m.b[outcome] - expected[outcome]) - 1
-        for_noise = sigmoid(h @ m.q[noise].T + m.b[noise] - expected[noise])
-        is_true = np.zeros((SIZE, n), np.float32)
-        is_true[outcome, np.arange(n)] = for_true
-        is_noise = np.zeros((SIZE, NOISE), np.float32)
-        is_noise[noise, np.arange(NOISE)] = 1
-        both = is_true + is_noise @ for_noise.T  # gradient of the loss by the logit of each outcome
-        dh = both.T @ m.q
+        for_true = _sigmoid((h * m.q[outcome]).sum(axis=1) + m.b[outcome] - self.expected[outcome]) - 1
+        for_noise = _sigmoid(h @ m.q[noise].T + (m.b[noise] - self.expected[noise]))
+        dh = for_true[:, None] * m.q[outcome] + for_noise @ m.q[noise]
+        # Gradients by row; the last column of these is the bias.
+        by_true = np.concatenate([for_true[:, None] * h, for_true[:, None]], axis=1)
+        by_noise = np.concatenate([for_noise.T @ h, for_noise.sum(axis=0)[:, None]], axis=1)
+        rows, sums = _by_row(outcome, by_true)
+        rows, both = _by_row(np.concatenate([rows, noise]), np.concatenate([sums, by_noise]))
         dc = np.stack([(dh * m.r[before[:, k]]).sum(axis=0) for k in range(CONTEXT)])
-        dr = np.zeros_like(m.r)
-        for k in range(CONTEXT):
-            at = np.zeros((SIZE, n), np.float32)
-            at[before[:, k], np.arange(n)] = 1
-            dr += at @ (dh * m.c[k])
-        for name, gradient in (("q", both @ h), ("b", both.sum(axis=1)), ("r", dr), ("c", dc)):
-            self._apply(name, gradient / n * 8)
+        context, dr = _by_row(before.T.ravel(), (m.c[:, None, :] * dh[None]).reshape(-1, DIM))
+        scale = np.float32(8 / n)
+        for name, at, gradient in (("q", rows, both[:, :DIM]), ("b", rows, both[:, DIM]), ("r", context, dr), ("c", slice(None), dc)):
+            self._apply(name, at, gradient * scale)
         self.seen += n
 
+    def learn(self, befores: list[np.ndarray], outcomes: list[np.ndarray]) -> None:
+        before, outcome = np.concatenate(befores), np.concatenate(outcomes)
+        for at in range(0, len(outcome), BATCH):
+            self.step(before[at : at + BATCH], outcome[at : at + BATCH])
+
+
+def positions(text: str | None, n: int, turn: int) -> np.ndarray:
+    """The positions of a text of ``n`` outcomes that a round trains on; over all rounds, each once."""
+    first = zlib.crc32((text or "").encode("utf-8", "surrogatepass")[:64])
+    return np.arange((first + turn) % ROUNDS, n, ROUNDS)
+
 
 def _before(outcomes: np.ndarray) -> np.ndarray:
     """The four outcomes before each; before the first stands the end of another text."""
@@ -182,8 +202,10 @@ class Vocabulary:
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, unigram: np.ndarray) -> Model:
-    """In each round every task trains a copy of the model on windows from all its texts; the copies' mean, weighted by windows, goes on."""
+    """In each round every task trains a copy of the model on its share of the positions of all its texts; the copies' mean, weighted by
+    positions, goes on. ``seen`` of the model counts the positions."""
     model = Model(unigram)
+    seen = 0
     spark = docs.sparkSession
     for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast((vocabulary, model))
@@ -197,24 +219,25 @@ def train(docs: DataFrame, vocabulary: Vocabulary, unigram: np.ndarray) -> Model
             for b in batches:
                 for text in b["text"]:
                     found = tokens(text)
-                    offset = (zlib.crc32(text.encode("utf-8", "surrogatepass")[:64]) + turn * 7) % STRIDE if text else 0
                     _, outcome = words.read(found)
-                    chosen = np.arange(min(offset, len(found)), len(outcome), STRIDE)
+                    chosen = positions(text, len(outcome), turn)
                     befores.append(_before(outcome)[chosen]), outcomes.append(outcome[chosen])
                     waiting += len(chosen)
-                    if waiting >= BATCH:
-                        trainer.step(np.concatenate(befores), np.concatenate(outcomes))
+                    if waiting >= 16 * BATCH:
+                        trainer.learn(befores, outcomes)
                         befores, outcomes, waiting = [], [], 0
             if waiting:
-                trainer.step(np.concatenate(befores), np.concatenate(outcomes))
+                trainer.learn(befores, outcomes)
             flat = own.flat()
             yield pd.DataFrame({"k": np.arange(len(flat)), "total": flat.astype(np.float64) * trainer.seen, "seen": float(trainer.seen)})
 
-        sums = docs.select("text").mapInPandas(learn, "k int, total double, seen double").groupBy("k").agg(F.try_divide(F.sum("total"), F.sum("seen")).alias("mean"))
+        sums = docs.select("text").mapInPandas(learn, "k int, total double, seen double").groupBy("k").agg(F.try_divide(F.sum("total"), F.sum("seen")).alias("mean"), F.sum("seen").alias("seen"))
         rows = sums.filter("mean is not null and not isnan(mean)").toPandas().sort_values("k")
         if len(rows) == len(model.flat()):
             model.load(rows["mean"].to_numpy())
+            seen += int(rows["seen"].iloc[0])
         shared.unpersist()
+    model.seen = seen
     return model
 
 

@@ -208,6 +208,17 @@ def test_language_model(spark, docs):
     assert sum(r["score"] for r in tested) > 0.95 * sum(r["base_score"] for r in tested), "context helps"
 
 
+def test_every_position_is_trained_on(spark, docs):
+    texts = ["a b c d e f g h i j", "a b", "", None, " ".join(f"w{k % 50}" for k in range(5000)), "a"]
+    counts = Counter(w for t in texts for w in [*(t or "").split(), ""])
+    head = sorted(((w, n) for w, n in counts.items() if w), key=lambda x: (-x[1], x[0]))
+    model = neural_lm.train(docs(*texts), neural_lm.Vocabulary(head), np.ones(neural_lm.SIZE))
+    assert model.seen == sum(counts.values())
+    for n in (1, 2, 3, 30):
+        chosen = [neural_lm.positions("text", n, turn).tolist() for turn in range(neural_lm.ROUNDS)]
+        assert sorted(sum(chosen, [])) == list(range(n))
+
+
 def test_probabilities_are_normalised():
     model = neural_lm.Model(np.ones(neural_lm.SIZE))
     model.load(np.random.default_rng(6).normal(0, 0.5, len(model.flat())))
