@@ -47,14 +47,14 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
     return int(np.packbits(2 * set_bits > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id and ``fp`` of every document; no words give 0."""
+def fingerprints(docs: DataFrame, width: int = WIDTH, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keys`` and ``fp`` of every document; no words give 0."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.array([fingerprint(t, width) for t in b["text"]], np.int64)})
+            yield pd.DataFrame({**{k: b[k] for k in keys}, "fp": np.array([fingerprint(t, width) for t in b["text"]], np.int64)})
 
-    return docs.select("doc_id", "text").mapInPandas(of, docs.select("doc_id").withColumn("fp", F.lit(0).cast("long")).schema)
+    return docs.select(*keys, "text").mapInPandas(of, docs.select(*keys).withColumn("fp", F.lit(0).cast("long")).schema)
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -227,16 +227,21 @@ def links(fps: DataFrame, plan: list[tuple[list[int], int]], bound: int = BOUND,
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compare, "a long, b long").distinct()
 
 
-def components_of(hashed: DataFrame, bound: int = BOUND) -> DataFrame:
-    """(doc_id, fp) of documents to (doc_id, fp, component_id)."""
-    fps = cut_lineage(hashed.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
+def roots_of(fps: DataFrame, bound: int = BOUND) -> DataFrame:
+    """(fp, root) of different fingerprints."""
     n, joint = bit_counts(fps)
     place = F.xxhash64("fp", F.lit(3))
     near = fps.filter(F.pmod(place, F.lit(max(n, 1))) < 2 * SAMPLE)  # about twice as many, from all partitions together
     sample = near.orderBy(place, "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     plan = allocate(n, joint, sample, bound)
     roots = components(links(fps, plan, bound)).withColumnRenamed("node", "fp")
-    grouped = fps.join(roots, "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
+    return fps.select("fp").join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
+def components_of(hashed: DataFrame, bound: int = BOUND) -> DataFrame:
+    """(doc_id, fp) of documents to (doc_id, fp, component_id)."""
+    fps = cut_lineage(hashed.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
+    grouped = fps.join(roots_of(fps, bound), "fp")
     first = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = grouped.join(first, "root").select("fp", "component_id")
     return hashed.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -254,9 +259,22 @@ def report(docs: DataFrame, bound: int = BOUND, width: int = WIDTH) -> DataFrame
 
 
 def representatives(docs: DataFrame, bound: int = BOUND, width: int = WIDTH) -> DataFrame:
-    """One document of each class, that of the smallest doc_id (of its rows, the one of the first text), with the columns it came with."""
-    found = components_of(cut_lineage(fingerprints(docs, width)), bound)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct().withColumnRenamed("doc_id", "__first")
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(F.col("__first")), "left_semi")
-    alike = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
-    return kept.withColumn("__nth", F.row_number().over(alike)).filter("__nth = 1").drop("__nth")
+    """One document of each class, that of the smallest doc_id (of its rows, the one of the first text), with the columns it came with.
+
+    A class is known by its texts: rows without a doc_id, and texts that share one, stand for their own classes. Null ids count
+    only if the class has no other.
+    """
+    hashes = ["__h1", "__h2"]
+    hashed = docs.withColumns({"__h1": F.xxhash64("text"), "__h2": F.xxhash64(F.lit(7), "text")})
+    fps = cut_lineage(fingerprints(hashed, width, tuple(hashes)).distinct())
+    roots = roots_of(cut_lineage(fps.select("fp").distinct()), bound)
+    least = hashed.groupBy(*hashes).agg(F.min("doc_id").alias("__id"))
+    texts = cut_lineage(fps.join(roots, "fp").join(least, hashes).select(*hashes, "__id", F.col("root").alias("__root")))
+    first = texts.groupBy("__root").agg(F.min("__id").alias("__first"))
+    chosen = texts.join(first, "__root").filter(F.col("__id").eqNullSafe(F.col("__first"))).select(*[F.col(h).alias(f"_{h}") for h in hashes], "__root", "__first")
+    same = F.col("doc_id").eqNullSafe(F.col("__first"))
+    for h in hashes:
+        same = same & (F.col(h) == F.col(f"_{h}"))
+    kept = hashed.join(chosen, same)
+    alike = Window.partitionBy("__root").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.withColumn("__nth", F.row_number().over(alike)).filter("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -139,6 +139,13 @@ def test_representatives(spark, docs):
     assert simhash.report(df.limit(0)).count() == 0
 
 
+def test_representatives_of_null_and_shared_ids(spark):
+    texts = [" ".join(f"{t}{i}" for i in range(80)) for t in "abcdef"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (1, texts[2]), (1, texts[3]), (0, texts[3]), (None, texts[4]), (9, texts[4]), (2**60 + 1, texts[5])]
+    out = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {tuple(r) for r in out.collect()} == {(None, texts[0]), (None, texts[1]), (1, texts[2]), (0, texts[3]), (9, texts[4]), (2**60 + 1, texts[5])} and out.count() == 6
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(links).collect()}
