@@ -1,14 +1,17 @@
 """Log-bilinear language model, trained with noise-contrastive estimation, and its score of whole texts.
 
-The model predicts one of 256 outcomes from the four before: the end of a text, a frequent word, or a class of the rarer words
-(by their first letters). Its context vector is the sum of the four outcomes' vectors, each scaled by its position; an outcome's
-logit is the product with its own vector, plus its bias. Probabilities are normalised over all outcomes by batched matrix
-products. Within a class a word has its count plus one, over the class's counts, its words, and one place for unknown words:
-so the probabilities of all words after any context sum to 1.
+Every word of the head of the vocabulary is a symbol with vectors of its own, so that parameters grow with the distinct words;
+so are the end of a text and the classes of the words outside the head (by their first letters). The context vector is the
+sum of the vectors of the four symbols before, each scaled by its position; a logit is the product with an outcome's vector, plus its bias.
+A symbol is predicted in two levels: the first has the end, the most frequent words, the classes, and groups of the other head words by
+descending count, as many as a group has words; the second has the words of the group. Both are normalised by batched matrix products. Within a class a
+word has its count plus one, over the class's counts, its words, and one place for unknown words: so the probabilities of all
+words after any context sum to 1.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -20,10 +23,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from graphreports.llm.common import stored
 
 FREQUENT, CLASSES = 160, 95  # outcomes 1 to FREQUENT are words, the rest classes; outcome 0 is the end
-SIZE = 1 + FREQUENT + CLASSES
+SIZE = 1 + FREQUENT + CLASSES  # symbols from here on are the other head words, and first-level outcomes from here on their groups
 CONTEXT, DIM, NOISE = 4, 16, 64
 ROUNDS, RATE, BATCH = 2, 0.15, 1024  # the rounds share out the positions of every text, so that each is trained on once
-HEAD = 150_000  # words whose counts every task holds; the counts of all others are joined
+ROWS = 1 << 12  # rows of a parameter that are sent back together
+HEAD = 150_000  # words whose vectors and counts every task holds; the counts of all others are joined
 END = b""
 
 
@@ -85,22 +89,40 @@ def _of_class(word: Column) -> Column:
 
 
 class Model:
-    """Parameters, and what they are learned from: vectors as context (r) and as outcome (q), position weights (c), biases (b)."""
+    """Parameters, and what they are learned from.
 
-    def __init__(self, unigram: np.ndarray):
+    Vectors of symbols as context (r), of first-level outcomes (q, biases b) and of grouped words (w, biases d), position weights (c).
+    ``unigram`` has the counts of the first SIZE symbols, ``grouped`` those of the other head words, in descending order.
+    """
+
+    NAMES = "rqcbwd"
+
+    def __init__(self, unigram: np.ndarray, grouped: np.ndarray | None = None):
         rng = np.random.default_rng(7)
-        self.r = rng.normal(0, 0.1, (SIZE, DIM)).astype(np.float32)
-        self.q = rng.normal(0, 0.1, (SIZE, DIM)).astype(np.float32)
+        self.unigram, self.grouped = unigram, np.zeros(0) if grouped is None else grouped
+        words = len(self.grouped)
+        self.width = max(1, math.ceil(math.sqrt(words)))
+        groups = np.add.reduceat(self.grouped, np.arange(0, words, self.width)) if words else np.zeros(0)
+        first = np.concatenate([unigram, groups])
+        draw = lambda n: rng.normal(0, 0.1, (n, DIM)).astype(np.float32)
+        self.r, self.q, self.w = draw(SIZE + words), draw(len(first)), draw(words)
         self.c = np.ones((CONTEXT, DIM), np.float32)
-        self.noise = (unigram / unigram.sum()).astype(np.float64)
+        self.noise = (first / first.sum()).astype(np.float64)
         self.b = np.log(self.noise).astype(np.float32)
+        self.noise_in_groups = self.grouped / max(self.grouped.sum(), 1)
+        self.d = np.log(self.noise_in_groups).astype(np.float32)
+
+    def copy(self) -> Model:
+        own = Model(self.unigram, self.grouped)
+        own.load(self.flat())
+        return own
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.r, self.q, self.c, self.b)])
+        return np.concatenate([getattr(self, x).ravel() for x in self.NAMES])
 
     def load(self, flat: np.ndarray) -> None:
         at = 0
-        for name in "rqcb":
+        for name in self.NAMES:
             x = getattr(self, name)
             setattr(self, name, flat[at : at + x.size].reshape(x.shape).astype(np.float32))
             at += x.size
@@ -108,15 +130,31 @@ class Model:
     def context(self, before: np.ndarray) -> np.ndarray:
         return sum(self.r[before[:, k]] * self.c[k] for k in range(CONTEXT))
 
-    def log_probabilities(self, before: np.ndarray, outcome: np.ndarray) -> np.ndarray:
-        """Natural logarithms, normalised over all outcomes."""
-        logits = self.context(before) @ self.q.T
-        logits += self.b
-        top = logits.max(axis=1)
-        chosen = logits[np.arange(len(outcome)), outcome]
-        logits -= top[:, None]
-        np.exp(logits, out=logits)
-        return (chosen - top - np.log(logits.sum(axis=1))).astype(np.float64)
+    def first_level(self, symbol: np.ndarray) -> np.ndarray:
+        return np.where(symbol < SIZE, symbol, SIZE + (symbol - SIZE) // self.width)
+
+    def log_probabilities(self, before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Natural logarithms, normalised over all symbols."""
+        h, first, block = self.context(before), self.first_level(symbol), 2048
+        out = np.concatenate([_log_softmax(h[i : i + block] @ self.q.T + self.b, first[i : i + block]) for i in range(0, max(len(h), 1), block)])
+        grouped = np.flatnonzero(symbol >= SIZE)
+        order = grouped[np.argsort(first[grouped], kind="stable")]
+        for alike in np.split(order, np.flatnonzero(np.diff(first[order])) + 1) if len(order) else ():
+            at = (int(first[alike[0]]) - SIZE) * self.width
+            words = slice(at, at + self.width)
+            for i in range(0, len(alike), block):
+                rows = alike[i : i + block]
+                out[rows] += _log_softmax(h[rows] @ self.w[words].T + self.d[words], symbol[rows] - SIZE - at)
+        return out
+
+
+def _log_softmax(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Logarithm of the chosen column's share of each row; overwrites ``logits``."""
+    top = logits.max(axis=1)
+    told = logits[np.arange(len(chosen)), chosen]
+    logits -= top[:, None]
+    np.exp(logits, out=logits)
+    return (told - top - np.log(logits.sum(axis=1))).astype(np.float64)
 
 
 def _by_row(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,35 +174,58 @@ class Trainer:
 
     def __init__(self, model: Model, seed: int):
         self.m, self.rng = model, np.random.default_rng(seed)
-        self.sums = {n: np.full(getattr(model, n).shape, 1e-2, np.float32) for n in "rqcb"}
-        self.cumulative = np.cumsum(model.noise)
-        self.expected = np.log(NOISE * model.noise).astype(np.float32)
+        self.sums = {n: np.full(getattr(model, n).shape, 1e-2, np.float32) for n in model.NAMES}
+        self.uses = {n: np.zeros(len(getattr(model, n)), np.float32) for n in model.NAMES}  # steps that touched a row
+        self.levels = [(np.cumsum(x), np.log(NOISE * x).astype(np.float32)) for x in (model.noise, model.noise_in_groups)]
         self.seen = 0
 
     def _apply(self, name: str, rows: np.ndarray | slice, gradient: np.ndarray) -> None:
         sums = self.sums[name][rows] + gradient * gradient
         self.sums[name][rows] = sums
         getattr(self.m, name)[rows] -= RATE * gradient / np.sqrt(sums)
-
-    def step(self, before: np.ndarray, outcome: np.ndarray) -> None:
-        m, n = self.m, len(outcome)
-        noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE)), SIZE - 1)
-        h = m.context(before)
-        for_true = _sigmoid((h * m.q[outcome]).sum(axis=1) + m.b[outcome] - self.expected[outcome]) - 1
-        for_noise = _sigmoid(h @ m.q[noise].T + (m.b[noise] - self.expected[noise]))
-        dh = for_true[:, None] * m.q[outcome] + for_noise @ m.q[noise]
+        self.uses[name][rows] += 1
+
+    def _level(self, level: int, vectors: str, biases: str, h: np.ndarray, outcome: np.ndarray, scale: np.float32) -> np.ndarray:
+        """Learn to tell the outcomes of a level from noise; the gradient of the loss by the context vectors."""
+        q, bias = getattr(self.m, vectors), getattr(self.m, biases)
+        cumulative, expected = self.levels[level]
+        noise = np.minimum(np.searchsorted(cumulative, self.rng.random(NOISE)), len(cumulative) - 1)
+        of_true, of_noise = q[outcome], q[noise]
+        for_true = _sigmoid((h * of_true).sum(axis=1) + bias[outcome] - expected[outcome]) - 1
+        for_noise = _sigmoid(h @ of_noise.T + (bias[noise] - expected[noise]))
+        dh = for_true[:, None] * of_true + for_noise @ of_noise
         # Gradients by row; the last column of these is the bias.
         by_true = np.concatenate([for_true[:, None] * h, for_true[:, None]], axis=1)
         by_noise = np.concatenate([for_noise.T @ h, for_noise.sum(axis=0)[:, None]], axis=1)
         rows, sums = _by_row(outcome, by_true)
         rows, both = _by_row(np.concatenate([rows, noise]), np.concatenate([sums, by_noise]))
+        self._apply(vectors, rows, both[:, :DIM] * scale)
+        self._apply(biases, rows, both[:, DIM] * scale)
+        return dh
+
+    def step(self, before: np.ndarray, symbol: np.ndarray) -> None:
+        m, n = self.m, len(symbol)
+        scale = np.float32(8 / n)
+        h = m.context(before)
+        dh = self._level(0, "q", "b", h, m.first_level(symbol), scale)
+        grouped = np.flatnonzero(symbol >= SIZE)
+        if len(grouped):
+            dh[grouped] += self._level(1, "w", "d", h[grouped], symbol[grouped] - SIZE, scale)
         dc = np.stack([(dh * m.r[before[:, k]]).sum(axis=0) for k in range(CONTEXT)])
         context, dr = _by_row(before.T.ravel(), (m.c[:, None, :] * dh[None]).reshape(-1, DIM))
-        scale = np.float32(8 / n)
-        for name, at, gradient in (("q", rows, both[:, :DIM]), ("b", rows, both[:, DIM]), ("r", context, dr), ("c", slice(None), dc)):
-            self._apply(name, at, gradient * scale)
+        self._apply("r", context, dr * scale)
+        self._apply("c", slice(None), dc * scale)
         self.seen += n
 
+    def learned(self) -> Iterator[tuple[str, int, bytes, bytes, bytes]]:
+        """For each ROWS rows of a parameter: which were touched, their values, and in how many steps."""
+        for name in self.m.NAMES:
+            values, uses = getattr(self.m, name), self.uses[name]
+            for at in range(0, len(uses), ROWS):
+                row = np.flatnonzero(uses[at : at + ROWS])
+                if len(row):
+                    yield name, at, row.astype(np.int32).tobytes(), values[at + row].tobytes(), uses[at + row].tobytes()
+
     def learn(self, befores: list[np.ndarray], outcomes: list[np.ndarray]) -> None:
         before, outcome = np.concatenate(befores), np.concatenate(outcomes)
         for at in range(0, len(outcome), BATCH):
@@ -184,58 +245,78 @@ def _before(outcomes: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """Frequent words by outcome, and the counts of the head; bounded by HEAD words."""
+    """Symbols and counts of the head; bounded by HEAD words."""
 
     def __init__(self, head: list[tuple[str, int]]):
         words = [(w.encode("utf-8", "surrogatepass"), n) for w, n in head if w != ""]
         self.number = {w: k + 1 for k, (w, _) in enumerate(words)}
         self.count = np.array([0, *(n for _, n in words)], np.float64)
-        self.outcome = np.array([0, *(k + 1 if k < FREQUENT else word_class(w) for k, (w, _) in enumerate(words))], np.int64)
+        self.symbol = np.array([0, *(k + 1 if k < FREQUENT else SIZE + k - FREQUENT for k in range(len(words)))], np.int64)
 
     def read(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the words (-1: not in the head) and outcomes, with the end."""
+        """Numbers of the words (-1: not in the head) and symbols, with the end."""
         number = np.fromiter((self.number.get(w, -1) for w in found), np.int64, len(found))
-        outcome = self.outcome[number]
+        symbol = self.symbol[number]
         for k in np.flatnonzero(number < 0).tolist():
-            outcome[k] = word_class(found[k])
-        return number, np.append(outcome, 0)
+            symbol[k] = word_class(found[k])
+        return number, np.append(symbol, 0)
+
+    def grouped(self) -> np.ndarray:
+        """Counts of the head words that are predicted in groups."""
+        return self.count[1 + FREQUENT :]
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, unigram: np.ndarray) -> Model:
-    """In each round every task trains a copy of the model on its share of the positions of all its texts; the copies' mean, weighted by
-    positions, goes on. ``seen`` of the model counts the positions."""
-    model = Model(unigram)
-    seen = 0
+    """In each round every task trains a copy of the model on its share of the positions of all its texts. The copies' mean goes on,
+    each parameter weighted by the steps that touched it. ``seen`` of the model counts the positions."""
+    model = Model(unigram, vocabulary.grouped())
     spark = docs.sparkSession
+    seen = 0
     for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast((vocabulary, model))
 
         def learn(batches: Iterator[pd.DataFrame], turn: int = turn, shared=shared) -> Iterator[pd.DataFrame]:
             words, start = shared.value
-            own = Model(start.noise)
-            own.load(start.flat())
-            trainer = Trainer(own, turn)
-            befores, outcomes, waiting = [], [], 0
+            trainer = Trainer(start.copy(), turn)
+            befores, symbols, waiting = [], [], 0
             for b in batches:
                 for text in b["text"]:
-                    found = tokens(text)
-                    _, outcome = words.read(found)
-                    chosen = positions(text, len(outcome), turn)
-                    befores.append(_before(outcome)[chosen]), outcomes.append(outcome[chosen])
+                    _, symbol = words.read(tokens(text))
+                    chosen = positions(text, len(symbol), turn)
+                    befores.append(_before(symbol)[chosen]), symbols.append(symbol[chosen])
                     waiting += len(chosen)
                     if waiting >= 16 * BATCH:
-                        trainer.learn(befores, outcomes)
-                        befores, outcomes, waiting = [], [], 0
+                        trainer.learn(befores, symbols)
+                        befores, symbols, waiting = [], [], 0
             if waiting:
-                trainer.learn(befores, outcomes)
-            flat = own.flat()
-            yield pd.DataFrame({"k": np.arange(len(flat)), "total": flat.astype(np.float64) * trainer.seen, "seen": float(trainer.seen)})
-
-        sums = docs.select("text").mapInPandas(learn, "k int, total double, seen double").groupBy("k").agg(F.try_divide(F.sum("total"), F.sum("seen")).alias("mean"), F.sum("seen").alias("seen"))
-        rows = sums.filter("mean is not null and not isnan(mean)").toPandas().sort_values("k")
-        if len(rows) == len(model.flat()):
-            model.load(rows["mean"].to_numpy())
-            seen += int(rows["seen"].iloc[0])
+                trainer.learn(befores, symbols)
+            yield pd.DataFrame([("", 0, b"", b"", b"", trainer.seen)], columns=names)
+            for part in trainer.learned():
+                yield pd.DataFrame([(*part, 0)], columns=names)
+
+        def mean(key: tuple, copies: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total, steps, n = np.zeros((ROWS, DIM)), np.zeros(ROWS), 0
+            for b in copies:
+                n += int(b["seen"].sum())
+                for row, value, uses in zip(b["row"], b["value"], b["uses"], strict=True):
+                    row, uses = np.frombuffer(row, np.int32), np.frombuffer(uses, np.float32)
+                    if len(row):
+                        value = np.frombuffer(value, np.float32).reshape(len(row), -1)
+                        total[row, : value.shape[1]] += value.astype(np.float64) * uses[:, None]
+                        steps[row] += uses
+            row = np.flatnonzero(steps)
+            value = (total[row] / steps[row, None]).astype(np.float32)[:, : 1 if key[0] in ("b", "d") else DIM]
+            yield pd.DataFrame([(*key, row.astype(np.int32).tobytes(), value.tobytes(), b"", n)], columns=names)
+
+        schema = "name string, at int, row binary, value binary, uses binary, seen long"
+        names = [c.split()[0] for c in schema.split(", ")]
+        for r in docs.select("text").mapInPandas(learn, schema).groupBy("name", "at").applyInPandas(mean, schema).collect():
+            seen += r["seen"]
+            if r["name"]:
+                values, row = getattr(model, r["name"]), r["at"] + np.frombuffer(r["row"], np.int32)
+                value = np.frombuffer(r["value"], np.float32).reshape(len(row), *values.shape[1:])
+                told = np.isfinite(value.reshape(len(row), -1)).all(axis=1)
+                values[row[told]] = value[told]
         shared.unpersist()
     model.seen = seen
     return model
@@ -255,9 +336,11 @@ def score(docs: DataFrame) -> DataFrame:
     n, v, ends = total["tokens"], total["words"], total["ends"]
     head = head_words(counts.filter("word <> ''"))
     vocabulary = Vocabulary(head)
-    frequent = {w for w, _ in head[:FREQUENT]}
-    rarer = counts.filter("word <> ''").filter(~F.col("word").isin(list(frequent)))
-    classes = {r["c"]: (r["n"], r["v"]) for r in rarer.groupBy(_of_class(F.col("word")).alias("c")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
+    by_class = counts.filter("word <> ''").groupBy(_of_class(F.col("word")).alias("c")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"))
+    classes = {r["c"]: [r["n"], r["v"]] for r in by_class.collect()}
+    for w, c in head:  # what is left are the words outside the head
+        of = classes[word_class(w.encode("utf-8", "surrogatepass"))]
+        of[0], of[1] = of[0] - c, of[1] - 1
     unigram = np.ones(SIZE)
     unigram[0] += ends
     unigram[1 : 1 + min(FREQUENT, len(head))] += [c for _, c in head[:FREQUENT]]
@@ -272,9 +355,6 @@ def score(docs: DataFrame) -> DataFrame:
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, m = shared.value
         log_count = np.log10(words.count + 1)
-        within = np.zeros(len(words.count))
-        rare = words.outcome > FREQUENT
-        within[rare] = log_count[rare] - np.log10(room[words.outcome[rare]])
         end_base = float(np.log10(ends + 1)) - base
         for b in batches:
             rows, befores, outcomes, sizes, tails = [], [], [], [], []
@@ -282,7 +362,7 @@ def score(docs: DataFrame) -> DataFrame:
 
             def out() -> Iterator[pd.DataFrame]:
                 before, outcome = np.concatenate(befores), np.concatenate(outcomes)
-                logs = np.concatenate([m.log_probabilities(before[i : i + 2048], outcome[i : i + 2048]) for i in range(0, len(outcome), 2048)])
+                logs = m.log_probabilities(before, outcome)
                 starts = np.concatenate([[0], np.cumsum(sizes[:-1])]).astype(np.int64)
                 neural = np.add.reduceat(logs, starts) / np.log(10)
                 frame = pd.DataFrame(rows, columns=["rid", "doc_id", "n_tokens", "n_known", "base_score", "score"])
@@ -297,7 +377,7 @@ def score(docs: DataFrame) -> DataFrame:
                 number, outcome = words.read(found)
                 known = number[number >= 0]
                 unknown = Counter([found[k] for k in np.flatnonzero(number < 0).tolist()])
-                rows.append((rid, doc_id, len(found) + 1, len(known) + (ends > 0), log_count[known].sum() - base * len(known) + end_base, within[known].sum()))
+                rows.append((rid, doc_id, len(found) + 1, len(known) + (ends > 0), log_count[known].sum() - base * len(known) + end_base, 0.0))
                 tails += [(rid, w.decode("utf-8", "replace"), word_class(w), t) for w, t in unknown.items()]
                 befores.append(_before(outcome)), outcomes.append(outcome), sizes.append(len(outcome))
                 waiting += len(outcome)

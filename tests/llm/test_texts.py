@@ -228,6 +228,21 @@ def test_probabilities_are_normalised():
         assert np.exp(every).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_rare_words_have_their_own_context(spark, docs):
+    rng = random.Random(8)
+    pairs = [(f"aa{k}", f"bb{k}") for k in range(300)]  # all beyond the first level, with one beginning
+    texts = [" ".join(x for _ in range(40) for x in rng.choice(pairs)) for _ in range(400)]
+    counts = Counter(w for t in texts for w in [*t.split(), ""])
+    head = [(f"cc{k}", 10**6) for k in range(neural_lm.FREQUENT)] + sorted(((w, n) for w, n in counts.items() if w), key=lambda x: (-x[1], x[0]))
+    words = neural_lm.Vocabulary(head)
+    model = neural_lm.train(docs(*texts), words, np.ones(neural_lm.SIZE))
+    assert len(model.w) == 600 and len(model.r) == neural_lm.SIZE + 600
+    sample = np.random.default_rng(9).integers(0, len(model.r), (2, neural_lm.CONTEXT))
+    for row in sample:
+        every = model.log_probabilities(np.repeat(row[None], len(model.r), 0), np.arange(len(model.r)))
+        assert np.exp(every).sum() == pytest.approx(1, abs=1e-4)
+
+
 def test_language_model_without_training_rows(spark, docs):
     k = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2)
     only = spark.createDataFrame([(k, "some words", "x", "y")], DOCS)
