@@ -283,7 +283,7 @@ def _augment(room: dict[int, dict[int, float]], source: int, sink: int) -> set[i
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
     label = minimum_cut([evidence(b) for b in found], edges(found))
-    return "\n".join(b.text for b, kept in zip(found, label, strict=True) if kept)
+    return "\n\n".join(b.text for b, kept in zip(found, label, strict=True) if kept)
 
 
 def report(pages: DataFrame) -> DataFrame:

@@ -120,9 +120,9 @@ with <i>mark</i>up.<br><p>Second one.</p><div class="ad">Buy this now. It is a v
 
 
 def test_main_text():
-    assert extraction.main_text(PAGE) == "Title & more\nFirst paraé with markup.\nSecond one.\nTi."
+    assert extraction.main_text(PAGE) == "Title & more\n\nFirst paraé with markup.\n\nSecond one.\n\nTi."
     soup = "<div class='menu'><a href=x>One</a> <a href=y>Two</a></div><div><p>" + "A long sentence of the text, with a comma. " * 4 + "</p><p>Short.</p></div><div class=footer>Legal</div>"
-    assert extraction.main_text(soup).endswith("comma.\nShort.") and "Legal" not in extraction.main_text(soup) and "One" not in extraction.main_text(soup)
+    assert extraction.main_text(soup).endswith("comma.\n\nShort.") and "Legal" not in extraction.main_text(soup) and "One" not in extraction.main_text(soup)
 
 
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<!--", "<script>x", "<p title=\"open>text", "plain < text & co", "</p></div>", "<b>" * 50, "\x00<p>\x00"])
@@ -132,7 +132,7 @@ def test_broken_markup_is_read(page):
 
 def test_long_pages_are_read_whole():
     page = "<article>" + "".join(f"<p>Paragraph {k}, which has some words.</p>" for k in range(5000)) + "</article>"
-    assert extraction.main_text(page).count("\n") == 4999
+    assert extraction.main_text(page).count("\n\n") == 4999
     flat = "".join(f"<div><p>w{k}</p></div>" for k in range(3000))
     assert isinstance(extraction.main_text(flat), str)
 
