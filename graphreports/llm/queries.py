@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graphreports.llm import extraction, fingerprint, linededup, mixing, neural_lm, packing, quality, simhash, toxicity, warc
+from graphreports.llm import extraction, fingerprint, linededup, mixing, neural_lm, packing, quality, runs, simhash, toxicity, warc
 from graphreports.llm.common import table
 from graphreports.runtime import new_folder
 
@@ -54,6 +54,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neural_lm": op8_neural_lm,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality": op10_quality,
+    "op11_runs": op11_runs,
     "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {"op4_mixing": mixing.SQL}
