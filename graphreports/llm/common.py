@@ -34,3 +34,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def once(value: Column, name: str) -> Column:
     """Compute ``value`` once, also where later expressions name it many times (a generator is not merged into them)."""
     return F.explode(F.array(value)).alias(name)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names that no column of ``df`` has, so that a caller's columns are never replaced."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
