@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graphreports.llm import decontamination, extraction, fingerprint, linededup, mixing, neural_lm, packing, quality, runs, simhash, toxicity, warc
+from graphreports.llm import conversations, decontamination, extraction, fingerprint, linededup, mixing, neural_lm, packing, quality, runs, simhash, toxicity, warc
 from graphreports.llm.common import table
 from graphreports.runtime import new_folder
 
@@ -58,6 +58,10 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.report(table(spark, sf_dir, "documents"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(table(spark, sf_dir, "conversations"))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_quality": op10_quality,
     "op11_runs": op11_runs,
+    "op12_conversations": op12_conversations,
     "op13_decontamination": op13_decontamination,
     "pipeline": pipeline,
 }
