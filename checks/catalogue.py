@@ -22,7 +22,7 @@ from graphreports.plans import quads as report_quads
 from graphreports.plans import reports
 from graphreports.plans.queries import query as parameterised
 from graphreports.runtime import configure, cut_lineage, new_folder
-from graphreports.sources import graph, links, nquads, store
+from graphreports.sources import changes, graph, links, nquads, store
 from graphreports.vocabulary import (
     DAY_OF_WEEK,
     JOB_GRAPH,
@@ -219,6 +219,28 @@ STEPS = {
     """,
 }
 
+_NULL_V = "cast(null as varchar)"
+# Rows of the report tables that the published reports are checked by, too.
+STEPS |= {
+    "body_count_row": f"""select {_identity('body-count')}, {_STAMPED},
+               concat('Count report for governing body of class ', x.kind, ' on {DAY} for admin unit ''', u.label, '''') as label,
+               {_GRAPH}, x.harvester, x.unit_uri, x.kind as class_label, {_NULL_V} as body_uri
+        from (select distinct m.harvester, m.unit_uri, case when v.classification = '{MUNICIPALITY}' then 'gemeente' else 'provincie' end as kind
+              from {{reported_metric}} m join {{unit}} v on v.harvester = m.harvester and v.unit_uri = m.unit_uri) x {_WITH_UNIT}""",
+    "unit_count_row": f"""select {_identity('unit-count')}, {_STAMPED}, concat('Count report for admin unit ''', x.label, ''' on {DAY}') as label,
+               concat('{REPORT_GRAPH_BASE}', x.unit_id, '{REPORT_GRAPH_SUFFIX}') as graph, x.harvester, x.unit_uri,
+               case when exists (select 1 from {{reported_metric}} m where m.harvester = x.harvester and m.unit_uri = x.unit_uri)
+                    then concat('{RESOURCE_BASE}', {_uuid("'body-count'", 'x.harvester', 'x.unit_uri', _DAY)}) else '' end as governing_body_reports
+        from {{unit}} x""",
+    "maturity_row": f"""select {_identity('maturity')}, {_STAMPED}, 'Report of maturity level for day {DAY}' as label, {_GRAPH},
+               x.harvester, x.unit_uri, x.derived_from as notule_uri
+        from {{latest}} x {_WITH_UNIT} where x.derived_from is not null""",
+    "session_row": f"""select {_identity('session-timestamp')}, {_STAMPED}, concat('Report of session timestamps for ', u.label, ' on {DAY}') as label,
+               {_GRAPH}, x.harvester, x.unit_uri, x.first_session, x.last_session
+        from (select b.harvester, b.unit_uri, min(s.planned_start) as first_session, max(s.planned_start) as last_session
+              from {_HELD}{_STARTED} group by all) x {_WITH_UNIT}""",
+}
+
 QUAD_COLUMNS = "harvester, g, s, p, o, o_kind, o_datatype, o_lang"
 
 
@@ -542,7 +564,6 @@ def _(p):
     return graph.with_any_value(p.quads("q_run"), iri("adms:status"), [RUN_SUCCESS, RUN_FAILED])
 
 
-_NULL_V = "cast(null as varchar)"
 _O = "o_datatype = '{}'".format
 
 
@@ -715,17 +736,89 @@ def _(p):
     return modified.filter(times.created_on(F.col("o"), date(2024, 1, 15))).select("harvester", "g", "s")
 
 
-# --- reports -----------------------------------------------------------------------------------------
+# --- stored changes ------------------------------------------------------------------------------------
+
+
+def _changes(p: Projection, *parts: str) -> str:
+    """A change store with these quads."""
+    path = new_folder(p.spark, "changes")
+    changes.write_harvest(p.quads(*parts), path)
+    return path
+
+
+def _distinct_quads(*parts: str) -> str:
+    return f"select distinct {QUAD_COLUMNS} from ({_quads_sql(*parts)})"
+
+
+_DELETED_TWICE = (
+    f"select {QUAD_COLUMNS} from ({_distinct_quads('q_item', 'q_handling', 'q_run')}) q where not exists (select 1 from ({_UNTYPED_ITEMS}) d"
+    " where d.harvester = q.harvester and d.g = q.g and (d.s = q.s or d.s = q.o)) and not exists"
+    f" (select 1 from ({_DOOMED}) d where d.harvester = q.harvester and d.g = q.g and d.s = q.s)"
+)
+
+
+def _delete_both(p: Projection) -> str:
+    path = _changes(p, "q_item", "q_handling", "q_run")
+    changes.delete_subjects(p.spark, path, graph.with_any_value(p["q_item"], iri("dct:description"), []), inbound=True)
+    changes.delete_subjects(p.spark, path, graph.with_any_value(p["q_run"], iri("adms:status"), [RUN_FAILED]))
+    return path
+
+
+@register("delete_stored", _DELETED_TWICE)
+def _(p):
+    """Two deletions, one with the quads that point at the subjects."""
+    return changes.load(p.spark, _delete_both(p))
+
+
+@register("compact_stored", _DELETED_TWICE)
+def _(p):
+    """The same after its folders were written anew and older files removed."""
+    path = _delete_both(p)
+    changes.compact(p.spark, path, share=0.1)
+    changes.vacuum(p.spark, path)
+    return changes.load(p.spark, path)
 
 
 @register(
-    "governing_body_count_report",
-    f"""select {_identity('body-count')}, {_STAMPED},
-               concat('Count report for governing body of class ', x.kind, ' on {DAY} for admin unit ''', u.label, '''') as label,
-               {_GRAPH}, x.harvester, x.unit_uri, x.kind as class_label, {_NULL_V} as body_uri
-        from (select distinct m.harvester, m.unit_uri, case when v.classification = '{MUNICIPALITY}' then 'gemeente' else 'provincie' end as kind
-              from {{reported_metric}} m join {{unit}} v on v.harvester = m.harvester and v.unit_uri = m.unit_uri) x {_WITH_UNIT}""",
+    "replace_stored",
+    f"""select harvester, g, s, p, case when p = '{iri('adms:status')}' and o = '{RUN_SUCCESS}' then '{_FINISHED}'
+               when p = '{iri('adms:status')}' and o = '{RUN_FAILED}' then '{_FINISHED}/badly' else o end as o,
+               o_kind, o_datatype, o_lang from ({_distinct_quads('q_run')})""",
 )
+def _(p):
+    """Two replacements, the second of values that the first has left."""
+    path = _changes(p, "q_run")
+    for old, new in ((RUN_SUCCESS, _FINISHED), (RUN_FAILED, f"{_FINISHED}/badly")):
+        status = changes.load(p.spark, path, predicates=[iri("adms:status")]).filter(F.col("o") == old)
+        changes.replace_properties(p.spark, path, status.withColumn("o", F.lit(new)), [iri("cogs:Job")])
+    return changes.load(p.spark, path)
+
+
+@register("in_graph_stored", f"select * from ({_distinct_quads('q_run', 'q_unit', 'q_item')}) where g = '{JOB_GRAPH}'")
+def _(p):
+    return changes.in_graph(p.spark, _changes(p, "q_run", "q_unit", "q_item"), JOB_GRAPH)
+
+
+@register(
+    "add_stored",
+    f"select harvester, p, count(*) as n from ({_distinct_quads('q_run', 'q_item')}) where harvester <> '{_FIRST}' or p <> '{iri('dct:title')}' group by all"
+    f" union all select harvester, p, count(*) as n from ({_distinct_quads('q_item')}) where harvester = '{_FIRST}' and p = '{iri('dct:title')}' group by all",
+)
+def _(p):
+    """Quads of items added to those of runs, twice; then one harvester is harvested anew without the titles of its runs."""
+    path = _changes(p, "q_run")
+    for _turn in range(2):
+        changes.add(p.spark, path, p["q_item"])
+    again = p.quads("q_run", "q_item").filter(F.col("harvester") == _FIRST)
+    titles = (F.col("p") == iri("dct:title")) & (F.col("g") == JOB_GRAPH)
+    changes.write_harvest(again.filter(~titles), path)
+    return changes.load(p.spark, path).groupBy("harvester", "p").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- reports -----------------------------------------------------------------------------------------
+
+
+@register("governing_body_count_report", "select * from {body_count_row}")
 def _(p):
     return reports.governing_body_count_report(nightly(p))
 
@@ -735,14 +828,7 @@ def _(p):
     return reports.publication_count_report(nightly(p))
 
 
-@register(
-    "admin_unit_count_report",
-    f"""select {_identity('unit-count')}, {_STAMPED}, concat('Count report for admin unit ''', x.label, ''' on {DAY}') as label,
-               concat('{REPORT_GRAPH_BASE}', x.unit_id, '{REPORT_GRAPH_SUFFIX}') as graph, x.harvester, x.unit_uri,
-               case when exists (select 1 from {{reported_metric}} m where m.harvester = x.harvester and m.unit_uri = x.unit_uri)
-                    then concat('{RESOURCE_BASE}', {_uuid("'body-count'", 'x.harvester', 'x.unit_uri', _DAY)}) else '' end as governing_body_reports
-        from {{unit}} x""",
-)
+@register("admin_unit_count_report", "select * from {unit_count_row}")
 def _(p):
     report = reports.admin_unit_count_report(nightly(p))
     return report.withColumn("governing_body_reports", F.concat_ws(",", "governing_body_reports"))
@@ -753,23 +839,12 @@ def _(p):
     return reports.decision_report(nightly(p))
 
 
-@register(
-    "maturity_report",
-    f"""select {_identity('maturity')}, {_STAMPED}, 'Report of maturity level for day {DAY}' as label, {_GRAPH},
-               x.harvester, x.unit_uri, x.derived_from as notule_uri
-        from {{latest}} x {_WITH_UNIT} where x.derived_from is not null""",
-)
+@register("maturity_report", "select * from {maturity_row}")
 def _(p):
     return reports.maturity_report(nightly(p))
 
 
-@register(
-    "session_timestamp_report",
-    f"""select {_identity('session-timestamp')}, {_STAMPED}, concat('Report of session timestamps for ', u.label, ' on {DAY}') as label,
-               {_GRAPH}, x.harvester, x.unit_uri, x.first_session, x.last_session
-        from (select b.harvester, b.unit_uri, min(s.planned_start) as first_session, max(s.planned_start) as last_session
-              from {_HELD}{_STARTED} group by all) x {_WITH_UNIT}""",
-)
+@register("session_timestamp_report", "select * from {session_row}")
 def _(p):
     return reports.session_timestamp_report(nightly(p))
 
@@ -853,6 +928,57 @@ def _(p):
     return reports.publish_reports(first, tables, run)
 
 
+def _local(column: str) -> str:
+    """A local wall-clock time as an xsd:dateTime."""
+    offset = f"date_diff('hour', timezone('UTC', timezone('Europe/Brussels', {column})), {column})"
+    return f"concat(strftime({column}, '%Y-%m-%dT%H:%M:%S'), '+0', cast({offset} as varchar), ':00')"
+
+
+def _report_sql(cls: str, source: str, *properties: tuple[str, str, str | None], s: str = "report_uri", stamped: bool = True) -> list[str]:
+    common = [
+        (_dm("createdAt"), "'2024-03-31T03:30:00+02:00'", "xsd:dateTime"),
+        (_dm("day"), "'2024-03-31'", "xsd:date"),
+    ]
+    named = [(iri("skos:prefLabel"), "label", "xsd:string"), (iri("mu:uuid"), "uuid", "xsd:string")]
+    every = [(RDF_TYPE, f"'{_dm(cls)}'", None), *(common if stamped else []), *named, *properties]
+    return [_property(p, o, datatype, source, s) + f" where {o} is not null and {o} <> ''" for p, o, datatype in every]
+
+
+_UNIT_LINK = (_dm("targetAdministrativeUnit"), "unit_uri", None)
+_ALL_REPORTS = [
+    *_report_sql("GoverningBodyCountReport", "body_count_row", _UNIT_LINK, (_dm("classLabel"), "class_label", "xsd:string")),
+    *_report_sql("PublicationCountReport", "metric_row", (_dm("targetClass"), "target_class", None), (_dm("count"), "cast(count as varchar)", "xsd:integer"),
+                 s="count_uri", stamped=False),
+    _property(_dm("publicationCountReports"), "count_uri", None, "metric_row"),
+    *_report_sql("AdminUnitCountReport", "unit_count_row", _UNIT_LINK, (_dm("governingBodyReports"), "governing_body_reports", None),
+                 (_dm("istest"), "'true'", "xsd:boolean")),
+    *_report_sql("DecisionReport", "decision_row", _UNIT_LINK, (_dm("classLabel"), "class_label", "xsd:string"),
+                 (_dm("count"), "cast(count as varchar)", "xsd:integer")),
+    *_report_sql("MaturityLevelReport", "maturity_row", (_dm("notuleUri"), "notule_uri", "xsd:string")),
+    *_report_sql("SessionTimestampReport", "session_row", (_dm("firstSession"), _local("first_session"), "xsd:dateTime"),
+                 (_dm("lastSession"), _local("last_session"), "xsd:dateTime")),
+    *_report_sql("LastHarvestingExecutionReport", "harvest_row"),
+    *[q.replace("{harvest_row}", "(select * exclude (label, uuid), record_label as label, record_uuid as uuid from {harvest_row})")
+      for q in _report_sql("LastHarvestingExecutionRecord", "harvest_row", _UNIT_LINK, (_dm("lastExecutionTime"), _local("last_execution_time"), "xsd:dateTime"),
+                           (_dm("status"), "status", None), s=f"concat('{RESOURCE_BASE}', record_uuid)", stamped=False)],
+    _property(_dm("adminUnitLastExecutionRecords"), f"concat('{RESOURCE_BASE}', record_uuid)", None, "harvest_row"),
+]
+
+
+@register("publish_all_reports", " union all ".join([f"select distinct {QUAD_COLUMNS} from {{q_unit}}", *_ALL_REPORTS]))
+def _(p):
+    """All reports of a day in the change store, published twice: the second takes the place of the first."""
+    run, path = nightly(p), new_folder(p.spark, "changes")
+    changes.write_harvest(p["q_unit"], path)
+    tables = {}
+    for key in reports.REPORTS:
+        tables |= reports.run_report(key, run)
+    tables = {name: cut_lineage(df) for name, df in tables.items() if name in report_quads.RESOURCES}
+    for _turn in range(2):
+        reports.publish_all(p.spark, path, tables, run)
+    return changes.load(p.spark, path)
+
+
 @register("run_report", "select * from {decision_row}")
 def _(p):
     """The stored table after a report was run twice."""
