@@ -21,7 +21,7 @@ from graphreports.operators import harvests, metrics, publications, resources, r
 from graphreports.plans import quads as report_quads
 from graphreports.plans import reports
 from graphreports.plans.queries import query as parameterised
-from graphreports.runtime import configure, cut_lineage, new_folder
+from graphreports.runtime import configure, cut_lineage, file_system, new_folder
 from graphreports.sources import changes, graph, links, nquads, store
 from graphreports.vocabulary import (
     DAY_OF_WEEK,
@@ -652,6 +652,56 @@ def _(p):
     return nquads.read_quads(p.spark, path, "organisations", scope="dump")
 
 
+_BROKEN = "select concat('<http://example.org/', doc_id, '> ', lang) as line, case when doc_id % 3 = 0 then 'https://harvester-0.example.org/sparql' else 'b' end as harvester from {documents}"
+
+
+@register(
+    "read_quads_rejects",
+    f"select harvester, 'quad' as status, s, p, o, cast(null as varchar) as line from {{q_body}}"
+    f" union all select harvester, 'rejected', {', '.join(['cast(null as varchar)'] * 3)}, line from ({_BROKEN})",
+)
+def _(p):
+    """Statements, and lines that are none, of one pass over a dump that has comments and blank lines, too."""
+    label = lambda c: F.when(F.col(c).startswith("_:"), F.replace(F.col(c), F.lit(" "), F.lit("%"))).otherwise(F.col(c))
+    good = p["q_body"].withColumns({"s": label("s"), "o": label("o")}).select("harvester", nquads.statement_text().alias("value"))
+    bad = p.spark.sql(_BROKEN, documents=p["documents"]).select("harvester", F.col("line").alias("value"))
+    other = p["documents"].select(F.lit("c").alias("harvester"), F.when(F.col("doc_id") % 2 == 0, "# note").otherwise(" ").alias("value"))
+    lines = good.unionByName(bad).unionByName(other)
+    quads, rejects = nquads.stage_quads(lines, F.col("harvester"), new_folder(p.spark, "staged"))
+    spaced = lambda c: F.when(F.col(c).startswith("_:"), F.replace(F.col(c), F.lit("%"), F.lit(" "))).otherwise(F.col(c)).alias(c)
+    none = F.lit(None).cast("string")
+    return quads.select("harvester", F.lit(nquads.QUAD).alias("status"), spaced("s"), "p", spaced("o"), none.alias("line")).unionByName(
+        rejects.select("harvester", F.lit(nquads.REJECTED).alias("status"), none.alias("s"), none.alias("p"), none.alias("o"), "line")
+    )
+
+
+_DUMP = "(length(s) * 31 + length(o) * 7 + ascii(right(o, 1))) % 200"
+_SCOPED = "case when starts_with({0}, '_:') then replace(concat('_:', dump, '-', substr({0}, 3)), ' ', '_') else {0} end as {0}"
+
+
+@register(
+    "federate_files",
+    f"select concat('harvester ', dump % 7) as harvester, g, {_SCOPED.format('s')}, p, {_SCOPED.format('o')}, o_kind, o_datatype, o_lang"
+    f" from (select *, {_DUMP} as dump from ({_quads_sql('q_body', 'q_unit')}))",
+)
+def _(p):
+    """Two hundred dumps of seven harvesters, read in one scan."""
+    path = new_folder(p.spark, "dumps")
+    label = lambda c: F.when(F.col(c).startswith("_:"), F.replace(F.col(c), F.lit(" "), F.lit("_"))).otherwise(F.col(c))
+    quads = p.quads("q_body", "q_unit").withColumn("dump", F.expr(_DUMP)).withColumns({"s": label("s"), "o": label("o")})
+    quads.select("dump", nquads.statement_text().alias("value")).repartition("dump").write.partitionBy("dump").text(path)
+    place, fs = file_system(p.spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(place) if f.isDirectory()]
+    dumps = {f"{path}/{n}": f"harvester {int(n.split('=')[1]) % 7}" for n in names}
+    numbers = {nquads.dump_scope(harvester, dump): dump.split("=")[1] for dump, harvester in dumps.items()}
+    number = F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair])
+    named = lambda c: F.when(
+        F.col(c).startswith("_:"), F.concat(F.lit("_:"), number[F.substring(c, 3, 12)], F.substring(c, 15, 1000))
+    ).otherwise(F.col(c)).alias(c)
+    read = nquads.read_dumps(p.spark, dumps)
+    return read.select("harvester", "g", named("s"), "p", named("o"), "o_kind", "o_datatype", "o_lang")
+
+
 _FIRST = "https://harvester-0.example.org/sparql"
 
 

@@ -2,6 +2,7 @@ from datetime import date
 
 import pytest
 from pyspark.sql import Observation
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from graphreports.schemas import QUADS
@@ -187,3 +188,35 @@ def test_unit_properties_select_by_class_or_override(rows):
     quads = _quads(rows, *triples)
     assert [r.unit_uri for r in select_units(quads).collect()] == ["a"]
     assert sorted(r.unit_uri for r in select_units(quads, ["b", "c"]).collect()) == ["b", "c"]
+
+
+def test_rejects_and_quads_come_of_one_pass(spark, tmp_path):
+    dump, folder = tmp_path / "dump", str(tmp_path / "staged")
+    dump.mkdir()
+    (dump / "a.nq").write_text('<a:s> <a:p> "x" .\nbroken\n# note\n\n_:b <a:p> _:b <a:g> .\n<a:s> <a:p> "un"quoted" .\n')
+    lines = spark.read.text(str(dump))
+    quads, rejects = nquads.stage_quads(lines, "h", folder, scope="d")
+    (dump / "a.nq").unlink()  # neither frame reads the dump again
+    assert sorted((r.s, r.o, r.g) for r in quads.collect()) == [("_:d-b", "_:d-b", "a:g"), ("a:s", "x", None)]
+    assert sorted(tuple(r) for r in rejects.collect()) == [("h", '<a:s> <a:p> "un"quoted" .'), ("h", "broken")]
+
+
+def test_many_dumps_are_one_scan(spark, tmp_path):
+    dumps = {}
+    for k in range(200):
+        place = tmp_path / f"dump {k}%41é"
+        place.mkdir()
+        for n in range(2):
+            (place / f"f {n}.nq").write_text(f"<a:s{n}> <a:p> _:b .\n")
+        dumps[str(place)] = f"h{k % 3}"
+    single = tmp_path / "one.nq"
+    single.write_text('<a:s> <a:p> "x" .\nbroken\n')
+    dumps[str(single)] = "single"
+    seen = Observation()
+    df = nquads.read_dumps(spark, dumps, seen)
+    assert df._jdf.queryExecution().executedPlan().toString().count("Scan text") == 1
+    got = df.collect()
+    assert len(got) == 401 and len({r.o for r in got}) == 201 and seen.get == {"statements": 401, "rejected": 1}
+    assert {r.harvester for r in got} == {"h0", "h1", "h2", "single"}
+    a = nquads.read_quads(spark, next(iter(dumps)), "h0")
+    assert {tuple(r) for r in a.collect()} <= {tuple(r) for r in got}
