@@ -10,6 +10,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -1029,6 +1030,46 @@ def _(p):
     return changes.load(p.spark, path)
 
 
+_REPORT_ROWS = {
+    "governing_body_count_report": "body_count_row", "publication_count_report": "metric_row", "admin_unit_count_report": "unit_count_row",
+    "decision_report": "decision_row", "maturity_report": "maturity_row", "session_timestamp_report": "session_row", "last_harvest_report": "harvest_row",
+}
+
+
+@register(
+    "run_reports",
+    " union all ".join(
+        f"select '{name}' as report, {'count_uri' if step == 'metric_row' else 'report_uri'} as uri, uuid, label, graph, harvester, unit_uri,"
+        f" {'count' if step in ('metric_row', 'decision_row') else 'null'} as n,"
+        f" {'epoch_us(first_session)' if step == 'session_row' else 'null'} as first_session,"
+        f" {'notule_uri' if step == 'maturity_row' else _NULL_V} as notule_uri from {{{step}}}"
+        for name, step in _REPORT_ROWS.items()
+    ),
+)
+def _(p):
+    """All reports of a run, from one stored prefix."""
+    tables = reports.run_reports(nightly(p))
+    none = lambda df, c, value: value if c in df.columns else F.lit(None)
+    rows = [
+        df.select(
+            F.lit(name).alias("report"),
+            F.col("count_uri" if "count_uri" in df.columns else "report_uri").alias("uri"),
+            "uuid", "label", "graph", "harvester", "unit_uri",
+            none(df, "count", F.col("count")).cast("long").alias("n"),
+            none(df, "first_session", F.unix_micros(F.col("first_session").cast("timestamp"))).cast("long").alias("first_session"),
+            none(df, "notule_uri", F.col("notule_uri")).cast("string").alias("notule_uri"),
+        )
+        for name, df in tables.items() if name in _REPORT_ROWS
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@register("prefix_metrics", f"select {_UNIT}, metric, n from {{reported_metric}}")
+def _(p):
+    """The seven metrics from tables in buckets by item."""
+    return nightly(p).prepared(new_folder(p.spark, "prefix"), 8).metrics()
+
+
 @register("run_report", "select * from {decision_row}")
 def _(p):
     """The stored table after a report was run twice."""

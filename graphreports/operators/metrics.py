@@ -157,13 +157,13 @@ def count_duplicate_items(tables: Tables, unit_body: DataFrame) -> DataFrame:
 
 
 # Bits of what is known about an item.
-_TYPED, _TITLED, _DESCRIBED = 1, 2, 4
+TYPED, TITLED, DESCRIBED = 1, 2, 4
 
 
 def item_flags(tables: Tables) -> DataFrame:
     """``(harvester, item_uri, flags)`` of items that are typed, titled or described. The three
     tables meet in one aggregation instead of one join each; a task sends an item once."""
-    parts = [("item", _TYPED), ("item_title", _TITLED), ("item_description", _DESCRIBED)]
+    parts = [("item", TYPED), ("item_title", TITLED), ("item_description", DESCRIBED)]
     marked = [tables[name].select(*ITEM, F.lit(bit).alias("flag")) for name, bit in parts]
     return reduce(DataFrame.unionByName, marked).groupBy(*ITEM).agg(F.bit_or("flag").alias("flags"))
 
@@ -172,12 +172,12 @@ def item_counts(unit_item: DataFrame, tables: Tables) -> DataFrame:
     """The three counts that need no more than a flag per item, in one pass over the items."""
     flagged = unit_item.join(item_flags(tables), ITEM, "left")
     without = lambda bit: F.count_if(
-        F.col("started") & (F.col("flags").bitwiseAND(F.lit(_TYPED | bit)) == _TYPED)
+        F.col("started") & (F.col("flags").bitwiseAND(F.lit(TYPED | bit)) == TYPED)
     )
     return flagged.groupBy(*UNIT).agg(
         F.count(F.lit(1)).alias("items"),
-        without(_TITLED).alias("items_without_title"),
-        without(_DESCRIBED).alias("items_without_description"),
+        without(TITLED).alias("items_without_title"),
+        without(DESCRIBED).alias("items_without_description"),
     )
 
 

@@ -42,7 +42,16 @@ def latest_publication(
         sessions_with_minutes(publication), ["harvester", "session_uri"], "left_semi"
     )
     bodies = unit_body.select(*UNIT, "body_uri").distinct()
-    newest = _newest(held_by_unit(candidates, bodies).select(*UNIT, "planned_start", "session_uri"))
+    return _first_of(_newest(held_by_unit(candidates, bodies).select(*UNIT, "planned_start", "session_uri")), publication, publication_source)
+
+
+def latest_of(held: DataFrame, publication: DataFrame, publication_source: DataFrame) -> DataFrame:
+    """The same from the planned sessions of each unit, ``(harvester, unit_uri, session_uri, planned_start)``."""
+    candidates = held.join(sessions_with_minutes(publication), ["harvester", "session_uri"], "left_semi")
+    return _first_of(_newest(candidates), publication, publication_source)
+
+
+def _first_of(newest: DataFrame, publication: DataFrame, publication_source: DataFrame) -> DataFrame:
     urls = newest.join(
         publication.select("harvester", "session_uri", "url").distinct(), ["harvester", "session_uri"]
     )

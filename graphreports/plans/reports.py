@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import ChainMap
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,8 +19,9 @@ from graphreports.operators.publications import latest_publication
 from graphreports.operators.resources import non_zero
 from graphreports.operators.rewrite import PART_PREDICATES, replace_reports
 from graphreports.operators.sessions import UNIT, on_day, session_bounds
+from graphreports.plans.prefix import Prefix, bounds_of, decisions_of, latest_publication_of, metrics_of, store_prefix
 from graphreports.plans.quads import RESOURCES, reports_to_quads
-from graphreports.runtime import cut_lineage
+from graphreports.runtime import cut_lineage, new_folder
 from graphreports.sources import changes
 from graphreports.sources.store import write_reports
 from graphreports.vocabulary import METRIC_LABELS, RDF_TYPE, Names
@@ -31,7 +32,8 @@ class Run:
     """Input of one nightly run: link tables, merged units and bodies, and the day reported on.
 
     ``created_at`` is wall-clock time in the local zone. ``window`` restricts metrics to sessions
-    planned on one day; without it they are all-time, as published reports are."""
+    planned on one day; without it they are all-time, as published reports are. With ``prefix``, which
+    :meth:`prepared` stores, reports start from it instead of the link tables it was made of."""
 
     tables: Mapping[str, DataFrame]
     units: DataFrame
@@ -40,10 +42,30 @@ class Run:
     created_at: datetime
     window: date | None = None
     names: Names = Names()
+    prefix: Prefix | None = None
 
     def facts(self) -> Mapping[str, DataFrame]:
         return ChainMap({"session": on_day(self.tables["session"], self.window)}, self.tables)
 
+    def prepared(self, path: str, buckets: int) -> Run:
+        """The same run with its shared prefix stored under ``path``."""
+        return replace(self, prefix=store_prefix(self.facts(), self.bodies, path, buckets))
+
+    def metrics(self) -> DataFrame:
+        return metrics_of(self.prefix) if self.prefix else unit_metrics(self.facts(), self.bodies)
+
+    def decisions(self) -> DataFrame:
+        return decisions_of(self.prefix) if self.prefix else decisions_by_class(self.facts(), self.bodies)
+
+    def bounds(self) -> DataFrame:
+        return bounds_of(self.prefix) if self.prefix else session_bounds(self.facts()["session"], self.bodies)
+
+    def newest(self) -> DataFrame:
+        t = self.facts()
+        if self.prefix:
+            return latest_publication_of(self.prefix, t["publication"], t["publication_source"])
+        return latest_publication(t["session"], self.bodies, t["publication"], t["publication_source"])
+
     def stamped(self, df: DataFrame, kind: str, label: Callable[[Column], Column], *keys: str) -> DataFrame:
         """Add identity, creation time, day, graph and label to rows that carry ``unit_id`` and
         ``unit_label``. The same keys give the same identity."""
@@ -69,7 +91,7 @@ class Run:
 def governing_body_count_report(run: Run, metrics: DataFrame | None = None) -> DataFrame:
     """One report per harvester and unit that has a count. It sums up all bodies of the unit, so
     no body is named."""
-    metrics = unit_metrics(run.facts(), run.bodies) if metrics is None else metrics
+    metrics = run.metrics() if metrics is None else metrics
     reported = run.with_unit(metrics.select(*UNIT).distinct()).withColumn(
         "class_label", labels.unit_kind(F.col("classification"))
     ).withColumn("body_uri", F.lit(None).cast("string"))
@@ -81,7 +103,7 @@ def governing_body_count_report(run: Run, metrics: DataFrame | None = None) -> D
 
 def publication_count_report(run: Run, metrics: DataFrame | None = None) -> DataFrame:
     """One row per non-zero count, belonging to a report of the table above."""
-    metrics = unit_metrics(run.facts(), run.bodies) if metrics is None else metrics
+    metrics = run.metrics() if metrics is None else metrics
     day = F.lit(run.day)
     uuid = stable_id(F.lit("metric-count"), F.col("harvester"), F.col("unit_uri"), F.col("metric"), day)
     report = stable_id(F.lit("body-count"), F.col("harvester"), F.col("unit_uri"), day)
@@ -107,7 +129,7 @@ def publication_count_report(run: Run, metrics: DataFrame | None = None) -> Data
 
 def admin_unit_count_report(run: Run, metrics: DataFrame | None = None) -> DataFrame:
     """One report per harvester and unit, linking the unit's count report if there is one."""
-    metrics = unit_metrics(run.facts(), run.bodies) if metrics is None else metrics
+    metrics = run.metrics() if metrics is None else metrics
     report = stable_id(F.lit("body-count"), F.col("harvester"), F.col("unit_uri"), F.lit(run.day))
     counted = metrics.select(*UNIT).distinct().withColumn("reported", F.lit(True))
     units = run.units.select(*UNIT, "unit_id", F.col("label").alias("unit_label"), "classification")
@@ -124,7 +146,7 @@ def admin_unit_count_report(run: Run, metrics: DataFrame | None = None) -> DataF
 
 def decision_report(run: Run) -> DataFrame:
     """Resolutions per unit and class of governing body."""
-    counts = non_zero(decisions_by_class(run.facts(), run.bodies)).withColumnRenamed("n", "count")
+    counts = non_zero(run.decisions()).withColumnRenamed("n", "count")
     return run.stamped(
         run.with_unit(counts), "decision",
         lambda day: labels.decision_label(F.col("unit_label"), day), "class_label",
@@ -134,7 +156,7 @@ def decision_report(run: Run) -> DataFrame:
 def session_timestamp_report(run: Run) -> DataFrame:
     """First and last planned session of each unit."""
     return run.stamped(
-        run.with_unit(session_bounds(run.facts()["session"], run.bodies)), "session-timestamp",
+        run.with_unit(run.bounds()), "session-timestamp",
         lambda day: labels.session_label(F.col("unit_label"), day),
     )
 
@@ -142,9 +164,7 @@ def session_timestamp_report(run: Run) -> DataFrame:
 def maturity_report(run: Run) -> DataFrame:
     """Source of each unit's newest publication; none where the newest has no source, even if
     an older one has."""
-    t = run.facts()
-    newest = latest_publication(t["session"], run.bodies, t["publication"], t["publication_source"])
-    sourced = newest.filter(F.col("derived_from").isNotNull()).select(
+    sourced = run.newest().filter(F.col("derived_from").isNotNull()).select(
         *UNIT, F.col("derived_from").alias("notule_uri")
     )
     return run.stamped(run.with_unit(sourced), "maturity", labels.maturity_label)
@@ -184,7 +204,7 @@ def harvest_match(run: Run) -> tuple[DataFrame, DataFrame]:
 def count_reports(run: Run) -> dict[str, DataFrame]:
     """The three tables of the count report. They share the metrics, at most seven rows per unit,
     which are written down once instead of being counted three times."""
-    metrics = cut_lineage(unit_metrics(run.facts(), run.bodies))
+    metrics = cut_lineage(run.metrics())
     return {
         "governing_body_count_report": governing_body_count_report(run, metrics),
         "publication_count_report": publication_count_report(run, metrics),
@@ -227,6 +247,18 @@ def run_report(key: str, run: Run, path: str | None = None) -> dict[str, DataFra
     return tables
 
 
+def run_reports(run: Run, path: str | None = None, buckets: int | None = None) -> dict[str, DataFrame]:
+    """Tables of all reports of a run. They share one stored prefix, so sessions meet bodies and items once; with ``path`` they are
+    also written as :func:`run_report` does. ``buckets`` is by default the session's shuffle width."""
+    spark = run.units.sparkSession
+    width = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ready = run.prepared(new_folder(spark, "prefix"), width)
+    tables: dict[str, DataFrame] = {}
+    for key in REPORTS:
+        tables |= run_report(key, ready, path)
+    return tables
+
+
 def publish_reports(quads: DataFrame, tables: Mapping[str, DataFrame], run: Run) -> DataFrame:
     """``quads`` with the report tables written into their units' graphs, in place of the day's
     reports of the same classes there. Publishing twice changes nothing more."""
