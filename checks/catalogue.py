@@ -456,6 +456,22 @@ def _(p):
     )
 
 
+@register(
+    "assemble_parts",
+    "select harvester, count(distinct item_uri) as items, count(distinct session_uri) as sessions, true as bounded,"
+    " md5(string_agg(distinct item_uri, ' ' order by item_uri)) as digest from {session_item} group by harvester",
+)
+def _(p):
+    """All items and sessions of each harvester, in parts of 500 values at most."""
+    out = resources.assemble_parts(p["session_item"], "harvester", ["item_uri", "session_uri"], 500)
+    values = F.size("item_uri") + F.size("session_uri")
+    whole = F.array_sort(F.flatten(F.collect_list("item_uri")))
+    return out.groupBy("harvester").agg(
+        F.sum(F.size("item_uri")).alias("items"), F.sum(F.size("session_uri")).alias("sessions"),
+        (F.max(values) <= 500).alias("bounded"), F.md5(F.array_join(whole, " ")).alias("digest"),
+    )
+
+
 @register("single_row", "select count(*) as sessions, count(distinct session_uri) as distinct_sessions from {session}")
 def _(p):
     totals = p["session"].agg(

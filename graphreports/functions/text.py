@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # White space as the source system's runtime defines it, which is neither the blank
 # that Spark trims by default nor the set that Java's regular expressions use.
@@ -29,15 +28,91 @@ ESCAPES = (
 )
 
 
-@F.pandas_udf(StringType())
-def _nfd(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: unicodedata.normalize("NFD", v), na_action="ignore")
+_PLAIN = 0x100000  # numbers are passed through texts as characters from here on
+_HANGUL = 0xAC00
+_BETWEEN = "\x1f"  # no decomposition has it
+
+
+@cache
+def _decompositions() -> tuple[str, str, str]:
+    """The characters that have a canonical decomposition, Hangul syllables left to arithmetic; the numbers that stand for them, as
+    characters; and the decompositions in that order."""
+    found = [(c, d) for c in map(chr, range(0x80, 0x110000)) if not _HANGUL <= ord(c) <= 0xD7A3 and (d := unicodedata.normalize("NFD", c)) != c]
+    return "".join(c for c, _ in found), "".join(chr(_PLAIN + k) for k in range(len(found))), _BETWEEN.join(d for _, d in found)
+
+
+@cache
+def _marks() -> tuple[str, str, str]:
+    """The characters with a combining class, their classes as characters, and a class of a regular expression that has them."""
+    found = [c for c in map(chr, range(0x80, 0x110000)) if unicodedata.combining(c)]
+    ranges: list[list[int]] = []
+    for c in map(ord, found):
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    pattern = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges)
+    return "".join(found), "".join(chr(_PLAIN + unicodedata.combining(c)) for c in found), pattern
+
+
+def _syllable(c: Column) -> Column:
+    """A Hangul syllable as its letters: their numbers follow from its own."""
+    n = F.ascii(c) - _HANGUL
+    letter = lambda first, count, k: F.get(F.split(F.lit("".join(chr(first + i) for i in range(count))), ""), k.cast("int"))
+    last = n % 28
+    return F.concat(
+        letter(0x1100, 19, F.floor(n / 588)), letter(0x1161, 21, F.floor(n % 588 / 28)),
+        F.when(last > 0, letter(0x11A8, 27, last - 1)).otherwise(""),
+    )
+
+
+def _decomposed(c: Column) -> Column:
+    """Every character beyond ASCII by its decomposition. The text is taken in runs of ASCII and single other characters, beside the same
+    runs of a copy in which each character that has a decomposition is replaced by its number."""
+    composed, numbers, values = _decompositions()
+    runs = lambda x: F.regexp_extract_all(x, F.lit(r"[\x00-\x7F]+|[^\x00-\x7F]"), 0)
+    table = F.split(F.lit(values), _BETWEEN)
+
+    def one(own: Column, told: Column) -> Column:
+        syllable = own.between(chr(_HANGUL), chr(0xD7A3)) & (F.length(own) == 1)
+        return F.when(own != told, F.get(table, F.ascii(told) - _PLAIN)).when(syllable, _syllable(own)).otherwise(own)
+
+    return F.array_join(F.zip_with(runs(c), runs(F.translate(c, composed, numbers)), one), "")
+
+
+def _ordered(c: Column) -> Column:
+    """Marks in a row by combining class, those of one class as they come."""
+    marks, classes, pattern = _marks()
+
+    def run(piece: Column) -> Column:
+        rank = lambda x, k: F.struct(F.ascii(F.translate(x, marks, classes)).alias("rank"), k.alias("at"), x.alias("mark"))
+        return F.array_join(F.transform(F.array_sort(F.transform(F.split(piece, ""), rank)), lambda x: x["mark"]), "")
+
+    pieces = F.regexp_extract_all(c, F.lit(f"[{pattern}]+|[^{pattern}]+"), 0)
+    return F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(f"^[{pattern}]"), run(x)).otherwise(x)), "")
+
+
+def _replaced(c: Column) -> Column:
+    """The decomposition of a text without Hangul, and without characters that stand for numbers: what the numbers in the copy stand for, all
+    between them taken as it is."""
+    composed, numbers, values = _decompositions()
+    table, first, last = F.split(F.lit(values), _BETWEEN), rf"\x{{{_PLAIN:X}}}", r"\x{10FFFF}"
+    pieces = F.regexp_extract_all(F.translate(c, composed, numbers), F.lit(f"[^{first}-{last}]+|[{first}-{last}]"), 0)
+    return F.array_join(F.transform(pieces, lambda x: F.when(x >= chr(_PLAIN), F.get(table, F.ascii(x) - _PLAIN)).otherwise(x)), "")
 
 
 def nfd(c: Column) -> Column:
-    """Canonical decomposition. Plain ASCII text is its own decomposition and stays in the JVM:
-    the Arrow function sees NULL for it."""
-    return F.coalesce(_nfd(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
+    """Canonical decomposition, as Column functions alone. Plain ASCII text is its own; text without marks of its own needs no ordering, as
+    decompositions are ordered."""
+    marks, _, pattern = _marks()
+    above = lambda low: rf"(?=[^\x00-\x{{{low - 1:X}}}])"  # noqa: E731  tells most characters by one comparison instead of hundreds
+    ordered = F.get(F.transform(F.array(_decomposed(c)), _ordered), 0)  # the lambda names its argument often, and computes it once
+    return (
+        F.when(~c.rlike(r"[^\x00-\x7F]"), c)
+        .when(c.rlike(f"{above(ord(marks[0]))}[{pattern}]"), ordered)
+        .when(c.rlike(rf"{above(_HANGUL)}[\x{{{_HANGUL:X}}}-\x{{D7A3}}\x{{{_PLAIN:X}}}-\x{{10FFFF}}]"), _decomposed(c))
+        .otherwise(_replaced(c))
+    )
 
 
 def trim_space(c: Column) -> Column:

@@ -16,6 +16,28 @@ def assemble(df: DataFrame, key: str | list[str], properties: list[str]) -> Data
     return df.groupBy(*keys).agg(*values)
 
 
+def assemble_parts(df: DataFrame, key: str | list[str], properties: list[str], limit: int = 100_000) -> DataFrame:
+    """:func:`assemble` for resources with any number of values: ``key``, ``part``, ``parts`` and the properties.
+
+    A resource with at most ``limit`` distinct values in all has one part, as nearly all have. Another has as many parts as keep the expected
+    size of each at half of that; a value's part follows from its hash, so the parts of a resource are independent of how the table
+    lies. Values are distinct over all parts and sorted within each. First every task drops repeats and distinct values are spread by
+    value; then values are counted per resource, with a partial step; then they meet in parts. A null value counts as none."""
+    keys = [key] if isinstance(key, str) else list(key)
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    one = [F.struct(F.lit(i).alias("property"), F.col(c).cast("string").alias("value")) for i, c in enumerate(properties)]
+    values = df.select(*keys, F.explode(F.array(*one)).alias("v")).select(*keys, "v.*")
+    # A resource is kept though it has no value at all.
+    distinct = values.withColumn("property", F.when(F.col("value").isNotNull(), F.col("property"))).distinct()
+    sizes = distinct.groupBy(*keys).agg(F.count("value").alias("n")).filter(F.col("n") > limit)
+    many = sizes.select(*[F.col(k).alias(f"large_{k}") for k in keys], F.ceil(F.col("n") * 2 / limit).cast("int").alias("parts"))
+    same = [F.col(k).eqNullSafe(F.col(f"large_{k}")) for k in keys]
+    dealt = distinct.join(many, same, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    placed = dealt.withColumn("part", F.pmod(F.xxhash64("property", "value"), F.col("parts")).cast("int"))
+    own = lambda i, c: F.array_sort(F.collect_list(F.when(F.col("property") == i, F.col("value").cast(kinds[c]))))
+    return placed.groupBy(*keys, "part").agg(F.max("parts").alias("parts"), *[own(i, c).alias(c) for i, c in enumerate(properties)])
+
+
 def scalar_or_list(values: Column) -> Column:
     """The value itself when an assembled property has only one, NULL otherwise."""
     return F.when(F.size(values) == 1, values[0])

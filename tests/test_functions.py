@@ -1,6 +1,7 @@
 import math
 from datetime import date, datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
@@ -169,3 +170,25 @@ def test_decode_never_fails(rows):
 def test_report_texts(rows):
     assert values(rows, labels.unit_kind, MUNICIPALITY, WELFARE_CENTRE) == ["gemeente", "provincie"]
     assert values(rows, labels.report_graph, "7") == ["http://example.org/graphs/organizations/7/reports"]
+
+
+def test_decomposition_is_that_of_the_standard(spark):
+    """Of every character, and of texts in which marks stand in any order."""
+    import random
+    import unicodedata
+
+    rng = random.Random(1)
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    marks = [c for c in every if unicodedata.combining(c)]
+    composed = [c for c in every if unicodedata.normalize("NFD", c) != c]
+    some = ["".join(rng.choice([rng.choice(marks), rng.choice(composed), "a", "한", "😀", chr(0x100000 + rng.randrange(50)), "\n"]) for _ in range(rng.randint(0, 12))) for _ in range(5000)]
+    df = spark.createDataFrame(pd.DataFrame({"s": every + some})).repartition(8).select("s", text.nfd(F.col("s")).alias("d"))
+    assert "Python" not in df.select("d")._jdf.queryExecution().executedPlan().toString()
+    assert [s for s, d in df.toPandas().itertuples(index=False) if unicodedata.normalize("NFD", s) != d] == []
+
+
+def test_merging_units_needs_no_python(spark):
+    from checks.catalogue import QUERIES
+
+    plan = QUERIES["merge_units"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan

@@ -241,3 +241,19 @@ def test_ids_of_different_keys_differ(rows):
 
     ids = rows("a string, b string", ("a|b", "c"), ("a", "b|c"), ("1:a", ""), (None, "a")).select(stable_id(F.col("a"), F.col("b")))
     assert ids.distinct().count() == 4
+
+
+def test_assembly_in_parts(spark, rows):
+    from graphreports.operators.resources import assemble, assemble_parts
+
+    df = rows("s string, p string, q int", *[("a", f"v{k % 5}", k % 3) for k in range(40)], ("b", None, None), (None, "x", 1), ("c", None, 7))
+    small = {r.s: (r.part, r.parts, r.p, r.q) for r in assemble_parts(df, "s", ["p", "q"]).collect()}
+    assert small == {r.s: (0, 1, r.p, r.q) for r in assemble(df, "s", ["p", "q"]).collect()}
+    n = 1_000_000
+    hot = spark.range(n).select(F.lit("hot").alias("s"), F.col("id").alias("v")).unionByName(spark.range(1000).select(F.concat(F.lit("s"), F.col("id")).alias("s"), F.col("id").alias("v")))
+    out = assemble_parts(hot.unionByName(hot), ["s"], ["v"], 100_000).withColumn("n", F.size("v")).withColumn("low", F.array_min("v"))
+    got = out.select("s", "part", "parts", "n").collect()
+    parts = [r for r in got if r.s == "hot"]
+    assert sorted(r.part for r in parts) == list(range(20)) and sum(r.n for r in parts) == n and max(r.n for r in parts) <= 100_000
+    assert len(got) == 1020 and all(r.parts == 1 and r.n == 1 for r in got if r.s != "hot")
+    assert out.filter("s = 'hot'").agg(F.count_distinct(F.col("low"))).first()[0] == 20
