@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from graphreports.llm.common import SPACES, stored
+from graphreports.llm.common import SPACES, free_names, stored
 
 MIN_CHARS = 20  # shorter lines recur for good reason, and one edit changes what they say
 _SPLIT = np.uint64(0x9E3779B97F4A7C15)
@@ -127,21 +127,22 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["row_key"] == b["row_key"]) & (a["line_no"] == b["line_no"])
 
 
-def _with_kept(docs: DataFrame, min_chars: int) -> DataFrame:
-    """Documents with ``__lines`` and ``__left``, the numbers of their lines that stay."""
+def _with_kept(docs: DataFrame, min_chars: int) -> tuple[DataFrame, Column, Column]:
+    """Documents with their lines and the numbers of those that stay, in two columns whose names no column has; and these columns."""
+    doc, row, first_, lines_, left_ = free_names(docs, "doc", "row", "first", "lines", "left")
     lines = lines_of(docs, min_chars)
     distinct = stored(distinct_lines(lines), "distinct-lines")
     first = distinct.join(near_repeats(lines, distinct), "place", "left_anti")
-    kept = first.groupBy(F.col("place.doc_id").alias("__doc"), F.col("place.row_key").alias("__row")).agg(F.collect_list("place.line_no").alias("__first"))
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__row")), "left")
-    split = joined.withColumn("__lines", F.split(F.coalesce("text", F.lit("")), "\n"))
-    short = lambda i: F.length(normal(F.get("__lines", i))) < min_chars
-    stays = lambda i: short(i) | F.coalesce(F.array_contains("__first", i), F.lit(False))
-    return split.withColumn("__left", F.filter(F.sequence(F.lit(0), F.size("__lines") - 1), stays)).drop("__doc", "__row", "__first")
+    kept = first.groupBy(F.col("place.doc_id").alias(doc), F.col("place.row_key").alias(row)).agg(F.collect_list("place.line_no").alias(first_))
+    joined = docs.join(kept, docs["doc_id"].eqNullSafe(F.col(doc)) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(row)), "left")
+    split = joined.withColumn(lines_, F.split(F.coalesce("text", F.lit("")), "\n"))
+    short = F.filter(F.sequence(F.lit(0), F.size(lines_) - 1), lambda i: F.length(normal(F.get(lines_, i))) < min_chars)
+    stays = F.array_union(short, F.coalesce(F.col(first_), F.array().cast("array<int>")))  # sets, so a text's lines cost linear time
+    return split.withColumn(left_, F.array_sort(stays)).drop(doc, row, first_), F.col(lines_), F.col(left_)
 
 
-def _rest() -> Column:
-    return F.array_join(F.transform("__left", lambda i: F.get("__lines", i)), "\n")
+def _rest(lines: Column, left: Column) -> Column:
+    return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
 
 
 def report(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -152,16 +153,16 @@ def report(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     number) is within one edit of it, case aside. Rows equal in doc_id and text have the same places and fare alike. A null text
     counts as one empty line; an empty table gives no rows; other columns are not read.
     """
-    done = _with_kept(docs.select("doc_id", "text"), min_chars)
-    gone = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__left"))
-    return done.select("doc_id", F.size("__lines").cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), gone.alias("removed_lines"), _rest().alias("text"))
+    done, lines, left = _with_kept(docs.select("doc_id", "text"), min_chars)
+    gone = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), left)
+    return done.select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), gone.alias("removed_lines"), _rest(lines, left).alias("text"))
 
 
 def without_repeats(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Documents without repeated lines, with the columns they came with; those that lose every line with a word go."""
-    done = _with_kept(docs, min_chars)
-    whole = F.size("__left") == F.size("__lines")
-    left = F.when(whole, F.col("text")).otherwise(_rest())
+    """Documents without repeated lines, with the columns they came with, whatever those are called; those that lose every line with a word go."""
+    done, lines, numbers = _with_kept(docs, min_chars)
+    whole = F.size(numbers) == F.size(lines)
+    left = F.when(whole, F.col("text")).otherwise(_rest(lines, numbers))
     out = done.withColumn("text", left).filter(whole | (F.trim("text", F.lit(SPACES)) != ""))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from graphreports.llm.common import words
+from graphreports.llm.common import free_names, words
 from graphreports.runtime import cut_lineage
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -107,7 +107,8 @@ def mix(docs: DataFrame, share: float = SHARE, repeat: float = REPEAT) -> DataFr
     edge = thresholds(cut_lineage(sized_rows(docs)), share, repeat).select(F.col("source").alias("of"), "passes", "threshold").alias("e")
     times = F.col("e.passes") + (place(F.col("d.doc_id")) < F.col("e.threshold")).cast("long")
     joined = docs.alias("d").join(edge, F.col("d.source").eqNullSafe(F.col("e.of")))
-    return joined.select("d.*", F.explode(F.array_repeat(F.lit(1), times.cast("int"))).alias("__copy")).drop("__copy")
+    (copy,) = free_names(docs, "copy")
+    return joined.select("d.*", F.explode(F.array_repeat(F.lit(1), times.cast("int"))).alias(copy)).drop(copy)
 
 
 SQL = r"""

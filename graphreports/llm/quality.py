@@ -123,7 +123,8 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: f
 
 def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     """Add ``__kept``: false if a base rule fails, else whether no rule reaches its cutoff in the document's stratum."""
-    named = limits.select(F.col("stratum").alias("__stratum"), "cutoff")
+    # Stored, so that the planner knows its size and sends it to the texts if it is small, instead of shuffling the texts.
+    named = stored(limits.select(F.col("stratum").alias("__stratum"), "cutoff"), "cutoffs")
     joined = measured.join(named, F.coalesce(measured["lang"], F.lit("")) == F.col("__stratum"), "left")
     hit = [F.coalesce(F.get("__quality.steps", F.lit(k)) >= F.get("cutoff", F.lit(k)), F.lit(False)) for k in range(len(RULES))]
     rejected = F.col("__quality.base_failed")
@@ -146,7 +147,10 @@ def report(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float
 
 
 def keep(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """The documents that are kept, with the columns they came with."""
-    measured = stored(measure(docs), "quality")
+    """The documents that are kept, with the columns they came with, whatever those are called."""
+    others = [c for c in docs.columns if c not in ("doc_id", "lang", "text")]
+    renamed = docs.select("doc_id", "lang", "text", *[F.col(f"`{c}`").alias(f"own_{k}") for k, c in enumerate(others)])
+    measured = stored(measure(renamed), "quality")
     judged = judge(measured, cutoffs(measured, labels, risk, error))
-    return judged.filter("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    back = {c: F.col(f"own_{k}").alias(c) for k, c in enumerate(others)}
+    return judged.filter("__kept").select(*[back.get(c, F.col(c)) for c in docs.columns])

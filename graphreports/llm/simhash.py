@@ -17,7 +17,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from graphreports.llm.common import stored
+from graphreports.llm.common import free_names, stored
 from graphreports.llm.components import components
 from graphreports.runtime import cut_lineage
 
@@ -259,22 +259,21 @@ def report(docs: DataFrame, bound: int = BOUND, width: int = WIDTH) -> DataFrame
 
 
 def representatives(docs: DataFrame, bound: int = BOUND, width: int = WIDTH) -> DataFrame:
-    """One document of each class, that of the smallest doc_id (of its rows, the one of the first text), with the columns it came with.
+    """One document of each class, that of the smallest doc_id (of its rows, the one of the first text), with the columns it came with,
+    whatever those are called.
 
     A class is known by its texts: rows without a doc_id, and texts that share one, stand for their own classes. Null ids count
     only if the class has no other.
     """
-    hashes = ["__h1", "__h2"]
-    hashed = docs.withColumns({"__h1": F.xxhash64("text"), "__h2": F.xxhash64(F.lit(7), "text")})
+    *hashes, one, two, root_, first_, nth = free_names(docs, "h1", "h2", "chosen1", "chosen2", "root", "first", "nth")
+    hashed = docs.withColumns({hashes[0]: F.xxhash64("text"), hashes[1]: F.xxhash64(F.lit(7), "text")})
     fps = cut_lineage(fingerprints(hashed, width, tuple(hashes)).distinct())
-    roots = roots_of(cut_lineage(fps.select("fp").distinct()), bound)
-    least = hashed.groupBy(*hashes).agg(F.min("doc_id").alias("__id"))
-    texts = cut_lineage(fps.join(roots, "fp").join(least, hashes).select(*hashes, "__id", F.col("root").alias("__root")))
-    first = texts.groupBy("__root").agg(F.min("__id").alias("__first"))
-    chosen = texts.join(first, "__root").filter(F.col("__id").eqNullSafe(F.col("__first"))).select(*[F.col(h).alias(f"_{h}") for h in hashes], "__root", "__first")
-    same = F.col("doc_id").eqNullSafe(F.col("__first"))
-    for h in hashes:
-        same = same & (F.col(h) == F.col(f"_{h}"))
+    roots = roots_of(cut_lineage(fps.select("fp").distinct()), bound).withColumnRenamed("root", root_)
+    least = hashed.groupBy(*hashes).agg(F.min("doc_id").alias("id"))
+    texts = cut_lineage(fps.join(roots, "fp").join(least, hashes).select(*hashes, "id", root_))
+    first = texts.groupBy(root_).agg(F.min("id").alias(first_))
+    chosen = texts.join(first, root_).filter(F.col("id").eqNullSafe(F.col(first_))).select(F.col(hashes[0]).alias(one), F.col(hashes[1]).alias(two), root_, first_)
+    same = F.col("doc_id").eqNullSafe(F.col(first_)) & (F.col(hashes[0]) == F.col(one)) & (F.col(hashes[1]) == F.col(two))
     kept = hashed.join(chosen, same)
-    alike = Window.partitionBy("__root").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
-    return kept.withColumn("__nth", F.row_number().over(alike)).filter("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    alike = Window.partitionBy(root_).orderBy(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.withColumn(nth, F.row_number().over(alike)).filter(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -150,3 +150,16 @@ def test_components_of_a_path(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(links).collect()}
     assert got == {**{k: 0 for k in range(61)}, 100: 100, 101: 100}
+
+
+def test_long_documents_take_linear_time(spark):
+    """80,000 different lines in one document, of which a thousand come again."""
+    import hashlib
+    import time
+
+    lines = [hashlib.md5(b"%d" % k).hexdigest() for k in range(80_000)]
+    text = "\n".join(lines + lines[:1000])
+    docs = spark.createDataFrame([(1, text, "en", "s", "x")], DOCS)
+    began = time.time()
+    got = linededup.report(docs).first()
+    assert got["n_lines"] == 81_000 and got["removed_lines"] == list(range(80_000, 81_000)) and time.time() - began < 60

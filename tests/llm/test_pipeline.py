@@ -4,7 +4,10 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from graphreports.llm import common
 from graphreports.llm.queries import ORACLES, QUERIES
 from tests.llm import brute
 from tests.llm.test_mixes import check_packing
@@ -35,10 +38,41 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, SF).count() == len(packed)
 
 
+CLASHING = [
+    "__quality", "__w", "__n", "__keys", "__at", "__lines", "__left", "__first", "__h1", "__root", "__copy", "lines", "left", "first", "row", "doc", "h1", "h2", "h1_",
+    "chosen1", "root", "nth", "copy", "fp", "id", "of", "passes", "threshold", "stratum", "cutoff", "own_0", "place", "component_id",
+]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Extra columns called as columns that the stages use come through with their values."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = docs.select("*", *[F.concat(F.lit(f"{name} "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias(name) for name in CLASHING])
+    before = odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, before, SF)
+        assert out.columns == odd.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c} {r['doc_id']}" for r in rows for c in CLASHING), name
+        before = spark.createDataFrame(rows, odd.schema)
+
+
+def test_stages_remove_what_the_stage_before_left(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first = corpus_pipeline.STAGES[0][1](spark, docs, SF)
+    begun, ended = corpus_pipeline._left
+    folders = common._folders[begun:ended]
+    kept = spark.createDataFrame(first.collect(), docs.schema)
+    assert folders and all(os.path.exists(f.removeprefix("file:")) for f in folders)
+    corpus_pipeline.STAGES[1][1](spark, kept, SF).collect()
+    assert not any(os.path.exists(f.removeprefix("file:")) for f in folders)
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - {"pipeline"}))
 def test_queries_return_every_row(spark, name):
-    table = "pages" if name in ("op3_warc", "op7_extraction") else "documents"
+    table = "pages" if name in ("op3_warc", "op7_extraction") else "conversations" if name == "op12_conversations" else "documents"
     got = QUERIES[name](spark, SF)
     rows = got.filter("piece = 0").count() if name == "op2_packing" else got.count()
-    assert rows == spark.read.parquet(os.path.join(SF, f"{table}.parquet")).count()
+    whole = spark.read.parquet(os.path.join(SF, f"{table}.parquet"))
+    assert rows == (whole.select("conv_id").distinct() if table == "conversations" else whole).count()
     assert set(ORACLES) <= set(QUERIES)
