@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from graphreports.llm.common import SPACES, free_names, stored
+from graphreports.llm.common import SPACES, free_names, once, stored
 
 MIN_CHARS = 20  # shorter lines recur for good reason, and one edit changes what they say
 _SPLIT = np.uint64(0x9E3779B97F4A7C15)
@@ -135,10 +135,11 @@ def _with_kept(docs: DataFrame, min_chars: int) -> tuple[DataFrame, Column, Colu
     first = distinct.join(near_repeats(lines, distinct), "place", "left_anti")
     kept = first.groupBy(F.col("place.doc_id").alias(doc), F.col("place.row_key").alias(row)).agg(F.collect_list("place.line_no").alias(first_))
     joined = docs.join(kept, docs["doc_id"].eqNullSafe(F.col(doc)) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(row)), "left")
-    split = joined.withColumn(lines_, F.split(F.coalesce("text", F.lit("")), "\n"))
+    # Split once: merged into the expressions below, the text would be split for each of its lines.
+    split = joined.select("*", once(F.split(F.coalesce("text", F.lit("")), "\n"), lines_))
     short = F.filter(F.sequence(F.lit(0), F.size(lines_) - 1), lambda i: F.length(normal(F.get(lines_, i))) < min_chars)
     stays = F.array_union(short, F.coalesce(F.col(first_), F.array().cast("array<int>")))  # sets, so a text's lines cost linear time
-    return split.withColumn(left_, F.array_sort(stays)).drop(doc, row, first_), F.col(lines_), F.col(left_)
+    return split.select("*", once(F.array_sort(stays), left_)).drop(doc, row, first_), F.col(lines_), F.col(left_)
 
 
 def _rest(lines: Column, left: Column) -> Column:
