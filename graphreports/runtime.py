@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,13 +33,20 @@ def file_system(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def fallback_folder(master: str, warehouse: str) -> str:
+    """Where intermediate tables go if ``spark.checkpoint.dir`` is unset: the warehouse, if driver and executors share it."""
+    if not re.match(r"local(\[|$)", master) and re.match("file:|/", warehouse):
+        raise ValueError(f"set spark.checkpoint.dir: {warehouse} is a folder of one machine, and {master} has several")
+    return f"{warehouse.rstrip('/')}/_checkpoints"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The application's own folder in the shared one: that ``spark.checkpoint.dir`` names or, where it
-    is unset, one in the warehouse, which driver and executors share too. It goes with the application."""
+    is unset, one in the warehouse, if that is shared too. It goes with the application."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        warehouse = spark.conf.get("spark.sql.warehouse.dir")
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse.rstrip('/')}/_checkpoints")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(named or fallback_folder(sc.master, spark.conf.get("spark.sql.warehouse.dir")))
     place, fs = file_system(spark, sc.getCheckpointDir())
     fs.deleteOnExit(place)
     return sc.getCheckpointDir()

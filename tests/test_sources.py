@@ -220,3 +220,13 @@ def test_many_dumps_are_one_scan(spark, tmp_path):
     assert {r.harvester for r in got} == {"h0", "h1", "h2", "single"}
     a = nquads.read_quads(spark, next(iter(dumps)), "h0")
     assert {tuple(r) for r in a.collect()} <= {tuple(r) for r in got}
+
+
+def test_intermediate_tables_need_a_shared_folder():
+    from graphreports.runtime import fallback_folder
+
+    assert fallback_folder("local[4]", "file:/w/") == "file:/w/_checkpoints" and fallback_folder("local", "/w") == "/w/_checkpoints"
+    assert fallback_folder("yarn", "hdfs://n/w") == "hdfs://n/w/_checkpoints"
+    for master in ("yarn", "spark://m:7077", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            fallback_folder(master, "file:/w")
