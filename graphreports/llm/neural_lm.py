@@ -2,11 +2,16 @@
 
 Every word of the head of the vocabulary is a symbol with vectors of its own, so that parameters grow with the distinct words;
 so are the end of a text and the classes of the words outside the head (by their first letters). The context vector is the
-sum of the vectors of the four symbols before, each scaled by its position; a logit is the product with an outcome's vector, plus its bias.
-A symbol is predicted in two levels: the first has the end, the most frequent words, the classes, and groups of the other head words by
-descending count, as many as a group has words; the second has the words of the group. Both are normalised by batched matrix products. Within a class a
+sum of the vectors of the four symbols before, each scaled by its position; a logit is the product with an outcome's vector, plus its bias
+(kept as the vector's last number, with a last number of 1 in the context vector).
+A symbol is predicted in up to three levels: the first has the end, the most frequent words, the classes, and groups of the other head words by
+descending count; the second has the subgroups of the group, the third the words of the subgroup, each about as many as the cube root of the
+head's words. All are normalised by batched matrix products. Within a class a
 word has its count plus one, over the class's counts, its words, and one place for unknown words: so the probabilities of all
 words after any context sum to 1.
+
+Texts are read into symbols once and stored in pieces. A piece goes by its hash to one round and one shard, whose number follows from the tokens learned from;
+a shard is trained in order of the hashes. So the model depends on the rows alone, not on how the table is partitioned.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -25,9 +31,14 @@ from graphreports.llm.common import stored
 FREQUENT, CLASSES = 160, 95  # outcomes 1 to FREQUENT are words, the rest classes; outcome 0 is the end
 SIZE = 1 + FREQUENT + CLASSES  # symbols from here on are the other head words, and first-level outcomes from here on their groups
 CONTEXT, DIM, NOISE = 4, 16, 64
-ROUNDS, RATE, BATCH = 2, 0.15, 1024  # the rounds share out the positions of every text, so that each is trained on once
+ROUNDS, RATE, BATCH = 2, 0.15, 2048  # the rounds share out the pieces of all texts, so that each position is trained on once
+SCALE = np.float32(8 / 1024)  # of the gradients of a position
+PIECE = 1 << 13  # positions of a text that are trained on and scored together
+SHARE = 1 << 22  # positions that one task trains on in a round, about
+FAN = 64  # copies of a parameter that are averaged at once
 ROWS = 1 << 12  # rows of a parameter that are sent back together
 HEAD = 150_000  # words whose vectors and counts every task holds; the counts of all others are joined
+WAIT = 1 << 19  # positions that are scored at once
 END = b""
 
 
@@ -91,26 +102,27 @@ def _of_class(word: Column) -> Column:
 class Model:
     """Parameters, and what they are learned from.
 
-    Vectors of symbols as context (r), of first-level outcomes (q, biases b) and of grouped words (w, biases d), position weights (c).
+    Vectors of symbols as context (r), of first-level outcomes (q), of subgroups (u) and of grouped words (w), position weights (c).
     ``unigram`` has the counts of the first SIZE symbols, ``grouped`` those of the other head words, in descending order.
     """
 
-    NAMES = "rqcbwd"
+    NAMES, LEVELS = "rquwc", "quw"
 
     def __init__(self, unigram: np.ndarray, grouped: np.ndarray | None = None):
         rng = np.random.default_rng(7)
         self.unigram, self.grouped = unigram, np.zeros(0) if grouped is None else grouped
         words = len(self.grouped)
-        self.width = max(1, math.ceil(math.sqrt(words)))
-        groups = np.add.reduceat(self.grouped, np.arange(0, words, self.width)) if words else np.zeros(0)
-        first = np.concatenate([unigram, groups])
+        self.sub = max(1, math.ceil(round(words ** (1 / 3), 6)))  # words of a subgroup, and subgroups of a group
+        per = lambda size: np.add.reduceat(self.grouped, np.arange(0, words, size)) if words else np.zeros(0)
+        counts = [np.concatenate([unigram, per(self.sub**2)]), per(self.sub), self.grouped]
         draw = lambda n: rng.normal(0, 0.1, (n, DIM)).astype(np.float32)
-        self.r, self.q, self.w = draw(SIZE + words), draw(len(first)), draw(words)
+        self.r = draw(SIZE + words)
         self.c = np.ones((CONTEXT, DIM), np.float32)
-        self.noise = (first / first.sum()).astype(np.float64)
-        self.b = np.log(self.noise).astype(np.float32)
-        self.noise_in_groups = self.grouped / max(self.grouped.sum(), 1)
-        self.d = np.log(self.noise_in_groups).astype(np.float32)
+        self.noise = [x / max(x.sum(), 1) for x in counts]
+        for name, noise in zip(self.LEVELS, self.noise, strict=True):
+            vectors = draw(len(noise))
+            vectors[:, -1] = np.log(noise)
+            setattr(self, name, vectors)
 
     def copy(self) -> Model:
         own = Model(self.unigram, self.grouped)
@@ -127,95 +139,152 @@ class Model:
             setattr(self, name, flat[at : at + x.size].reshape(x.shape).astype(np.float32))
             at += x.size
 
-    def context(self, before: np.ndarray) -> np.ndarray:
-        return sum(self.r[before[:, k]] * self.c[k] for k in range(CONTEXT))
-
-    def first_level(self, symbol: np.ndarray) -> np.ndarray:
-        return np.where(symbol < SIZE, symbol, SIZE + (symbol - SIZE) // self.width)
+    def outcomes(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First-level outcomes; the rows of grouped words, their subgroups and words."""
+        grouped = np.flatnonzero(symbol >= SIZE)
+        word = symbol[grouped] - SIZE
+        first = symbol.copy()
+        first[grouped] = SIZE + word // self.sub**2
+        return first, grouped, word // self.sub, word
+
+    def contexts(self, stream: np.ndarray) -> np.ndarray:
+        """Context vectors of the symbols of ``stream`` after its first CONTEXT."""
+        r, n = self.r[stream], len(stream) - CONTEXT
+        h = r[CONTEXT - 1 : CONTEXT - 1 + n] * self.c[0]
+        for k in range(1, CONTEXT):
+            h += r[CONTEXT - 1 - k : CONTEXT - 1 - k + n] * self.c[k]
+        h[:, -1] = 1
+        return h
 
     def log_probabilities(self, before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Natural logarithms, normalised over all symbols."""
-        h, first, block = self.context(before), self.first_level(symbol), 2048
-        out = np.concatenate([_log_softmax(h[i : i + block] @ self.q.T + self.b, first[i : i + block]) for i in range(0, max(len(h), 1), block)])
-        grouped = np.flatnonzero(symbol >= SIZE)
-        order = grouped[np.argsort(first[grouped], kind="stable")]
-        for alike in np.split(order, np.flatnonzero(np.diff(first[order])) + 1) if len(order) else ():
-            at = (int(first[alike[0]]) - SIZE) * self.width
-            words = slice(at, at + self.width)
-            for i in range(0, len(alike), block):
-                rows = alike[i : i + block]
-                out[rows] += _log_softmax(h[rows] @ self.w[words].T + self.d[words], symbol[rows] - SIZE - at)
+        """Natural logarithms, normalised over all symbols, after given contexts (the nearest symbol first)."""
+        h = sum(self.r[before[:, k]] * self.c[k] for k in range(CONTEXT))
+        h[:, -1] = 1
+        return self.of_contexts(h, symbol)
+
+    def of_contexts(self, h: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        first, grouped, subgroup, word = self.outcomes(symbol)
+        out = np.empty(len(h))
+        _log_softmax(h, self.q, first, out, _far(h, self.q))
+        for vectors, outcome in ((self.u, subgroup), (self.w, word)):
+            out[grouped] += self._among(h[grouped], vectors, outcome)
+        return out
+
+    def _among(self, h: np.ndarray, vectors: np.ndarray, outcome: np.ndarray) -> np.ndarray:
+        """Logarithms of the probabilities of outcomes among the ``sub`` that they share a parent with."""
+        parent, far = outcome // self.sub, _far(h, vectors)
+        order = np.argsort(parent)
+        h, within, parent = h[order], (outcome - parent * self.sub)[order], parent[order]
+        edges = np.flatnonzero(np.diff(parent, prepend=-1, append=-1)).tolist()
+        told = np.empty(len(outcome))
+        for start, end in zip(edges, edges[1:]):
+            at = int(parent[start]) * self.sub
+            _log_softmax(h[start:end], vectors[at : at + self.sub], within[start:end], told[start:end], far)
+        out = np.empty(len(outcome))
+        out[order] = told
         return out
 
 
-def _log_softmax(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Logarithm of the chosen column's share of each row; overwrites ``logits``."""
-    top = logits.max(axis=1)
-    told = logits[np.arange(len(chosen)), chosen]
-    logits -= top[:, None]
-    np.exp(logits, out=logits)
-    return (told - top - np.log(logits.sum(axis=1))).astype(np.float64)
+def _far(h: np.ndarray, vectors: np.ndarray) -> bool:
+    """Whether an exponential of a logit could leave the range of its type."""
+    widest = lambda x: math.sqrt(float(np.einsum("ij,ij->i", x[:, :-1], x[:, :-1]).max(initial=0)))
+    return widest(h) * widest(vectors) + float(np.abs(vectors[:, -1]).max(initial=0)) > 80
+
+
+def _log_softmax(h: np.ndarray, vectors: np.ndarray, chosen: np.ndarray, out: np.ndarray, far: bool) -> None:
+    """Logarithm of the chosen outcome's share of each row, in blocks of rows."""
+    block, ones = 1024, np.ones(len(vectors), np.float32)
+    for i in range(0, len(h), block):
+        logits = h[i : i + block] @ vectors.T
+        told = logits[np.arange(len(logits)), chosen[i : i + block]]
+        if far:
+            top = logits.max(axis=1)
+            logits -= top[:, None]
+            told -= top
+        np.exp(logits, out=logits)
+        out[i : i + block] = told - np.log(logits @ ones)
 
 
 def _by_row(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different rows of ``index`` and the sum of the values of each."""
-    order = np.argsort(index, kind="stable")
+    order = np.argsort(index)
     index = index[order]
     starts = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
     return index[starts], np.add.reduceat(values[order], starts, axis=0)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """Overwrites ``x``."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Trainer:
-    """Noise-contrastive steps on a model's own copy, with AdaGrad on the rows a step touches. A batch shares its noise words."""
+    """Noise-contrastive steps on a model's own copy, with one AdaGrad rate for each row that a step touches. A batch shares its noise words.
+
+    A step moves no row by more than 4 * RATE, so that all stay finite.
+    """
 
     def __init__(self, model: Model, seed: int):
         self.m, self.rng = model, np.random.default_rng(seed)
-        self.sums = {n: np.full(getattr(model, n).shape, 1e-2, np.float32) for n in model.NAMES}
+        self.sums = {n: np.full(len(getattr(model, n)), 1e-2, np.float32) for n in model.NAMES}
         self.uses = {n: np.zeros(len(getattr(model, n)), np.float32) for n in model.NAMES}  # steps that touched a row
-        self.levels = [(np.cumsum(x), np.log(NOISE * x).astype(np.float32)) for x in (model.noise, model.noise_in_groups)]
+        self.levels = [(np.cumsum(x), np.log(NOISE * x).astype(np.float32)) for x in model.noise]
         self.seen = 0
 
-    def _apply(self, name: str, rows: np.ndarray | slice, gradient: np.ndarray) -> None:
-        sums = self.sums[name][rows] + gradient * gradient
+    def _apply(self, name: str, rows: np.ndarray, gradient: np.ndarray) -> None:
+        sums = self.sums[name][rows] + np.einsum("ij,ij->i", gradient, gradient) * np.float32(1 / DIM)
         self.sums[name][rows] = sums
-        getattr(self.m, name)[rows] -= RATE * gradient / np.sqrt(sums)
+        gradient *= (RATE / np.sqrt(sums))[:, None]
+        getattr(self.m, name)[rows] -= gradient
         self.uses[name][rows] += 1
 
-    def _level(self, level: int, vectors: str, biases: str, h: np.ndarray, outcome: np.ndarray, scale: np.float32) -> np.ndarray:
+    def _level(self, level: int, h: np.ndarray, outcome: np.ndarray) -> np.ndarray:
         """Learn to tell the outcomes of a level from noise; the gradient of the loss by the context vectors."""
-        q, bias = getattr(self.m, vectors), getattr(self.m, biases)
+        vectors = getattr(self.m, self.m.LEVELS[level])
         cumulative, expected = self.levels[level]
-        noise = np.minimum(np.searchsorted(cumulative, self.rng.random(NOISE)), len(cumulative) - 1)
-        of_true, of_noise = q[outcome], q[noise]
-        for_true = _sigmoid((h * of_true).sum(axis=1) + bias[outcome] - expected[outcome]) - 1
-        for_noise = _sigmoid(h @ of_noise.T + (bias[noise] - expected[noise]))
-        dh = for_true[:, None] * of_true + for_noise @ of_noise
-        # Gradients by row; the last column of these is the bias.
-        by_true = np.concatenate([for_true[:, None] * h, for_true[:, None]], axis=1)
-        by_noise = np.concatenate([for_noise.T @ h, for_noise.sum(axis=0)[:, None]], axis=1)
-        rows, sums = _by_row(outcome, by_true)
-        rows, both = _by_row(np.concatenate([rows, noise]), np.concatenate([sums, by_noise]))
-        self._apply(vectors, rows, both[:, :DIM] * scale)
-        self._apply(biases, rows, both[:, DIM] * scale)
-        return dh
-
-    def step(self, before: np.ndarray, symbol: np.ndarray) -> None:
-        m, n = self.m, len(symbol)
-        scale = np.float32(8 / n)
-        h = m.context(before)
-        dh = self._level(0, "q", "b", h, m.first_level(symbol), scale)
-        grouped = np.flatnonzero(symbol >= SIZE)
+        noise = np.minimum(np.searchsorted(cumulative, self.rng.random(NOISE) * cumulative[-1]), len(cumulative) - 1)
+        of_true, of_noise = vectors[outcome], vectors[noise]
+        for_true = np.einsum("ij,ij->i", h, of_true)
+        for_true -= expected[outcome]
+        for_true = _sigmoid(for_true) - 1
+        for_noise = h @ of_noise.T
+        for_noise -= expected[noise]
+        _sigmoid(for_noise)
+        of_true *= for_true[:, None]
+        of_true += for_noise @ of_noise
+        by_row = np.concatenate([h * for_true[:, None], for_noise.T @ h])
+        rows, sums = _by_row(np.concatenate([outcome, noise]), by_row)
+        sums *= SCALE
+        self._apply(self.m.LEVELS[level], rows, sums)
+        return of_true
+
+    def step(self, stream: np.ndarray, wanted: np.ndarray) -> None:
+        """One step on the symbols of ``stream`` after its first CONTEXT that are ``wanted``."""
+        m, at = self.m, np.flatnonzero(wanted)
+        if not len(at):
+            return
+        n = len(wanted)
+        h = m.contexts(stream)[at]
+        first, grouped, subgroup, word = m.outcomes(stream[CONTEXT:][at])
+        told = self._level(0, h, first)
         if len(grouped):
-            dh[grouped] += self._level(1, "w", "d", h[grouped], symbol[grouped] - SIZE, scale)
-        dc = np.stack([(dh * m.r[before[:, k]]).sum(axis=0) for k in range(CONTEXT)])
-        context, dr = _by_row(before.T.ravel(), (m.c[:, None, :] * dh[None]).reshape(-1, DIM))
-        self._apply("r", context, dr * scale)
-        self._apply("c", slice(None), dc * scale)
-        self.seen += n
+            of_words = h[grouped]
+            told[grouped] += self._level(1, of_words, subgroup) + self._level(2, of_words, word)
+        told *= SCALE
+        told[:, -1] = 0
+        dh = np.zeros((n, DIM), np.float32)
+        dh[at] = told
+        r, by_symbol, dc = m.r[stream], np.zeros((len(stream), DIM), np.float32), np.empty_like(m.c)
+        for k in range(CONTEXT):
+            part = slice(CONTEXT - 1 - k, CONTEXT - 1 - k + n)
+            by_symbol[part] += dh * m.c[k]
+            dc[k] = np.einsum("ij,ij->j", dh, r[part])
+        self._apply("r", *_by_row(stream, by_symbol))
+        self._apply("c", np.arange(CONTEXT), dc)
+        self.seen += len(at)
 
     def learned(self) -> Iterator[tuple[str, int, bytes, bytes, bytes]]:
         """For each ROWS rows of a parameter: which were touched, their values, and in how many steps."""
@@ -226,22 +295,37 @@ class Trainer:
                 if len(row):
                     yield name, at, row.astype(np.int32).tobytes(), values[at + row].tobytes(), uses[at + row].tobytes()
 
-    def learn(self, befores: list[np.ndarray], outcomes: list[np.ndarray]) -> None:
-        before, outcome = np.concatenate(befores), np.concatenate(outcomes)
-        for at in range(0, len(outcome), BATCH):
-            self.step(before[at : at + BATCH], outcome[at : at + BATCH])
+    def learn(self, pieces: list[np.ndarray]) -> None:
+        stream, wanted = joined(pieces)
+        for at in range(CONTEXT, len(stream), BATCH):
+            self.step(stream[at - CONTEXT : at + BATCH], wanted[at : at + BATCH])
 
 
-def positions(text: str | None, n: int, turn: int) -> np.ndarray:
-    """The positions of a text of ``n`` outcomes that a round trains on; over all rounds, each once."""
-    first = zlib.crc32((text or "").encode("utf-8", "surrogatepass")[:64])
-    return np.arange((first + turn) % ROUNDS, n, ROUNDS)
+def joined(pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces one after the other, and which symbols are not the context that a piece begins with."""
+    stream = np.concatenate(pieces)
+    wanted = np.ones(len(stream), bool)
+    starts = np.cumsum([0, *(len(p) for p in pieces[:-1])])
+    for k in range(CONTEXT):
+        wanted[starts + k] = False
+    return stream, wanted
 
 
-def _before(outcomes: np.ndarray) -> np.ndarray:
-    """The four outcomes before each; before the first stands the end of another text."""
-    padded = np.concatenate([np.zeros(CONTEXT, outcomes.dtype), outcomes])
-    return np.stack([padded[CONTEXT - 1 - k : len(padded) - 1 - k] for k in range(CONTEXT)], axis=1)
+def pieces(symbols: np.ndarray) -> Iterator[np.ndarray]:
+    """A text's symbols in pieces of at most PIECE, each after the CONTEXT symbols before it; before the first stands the end of another text."""
+    padded = np.concatenate([np.zeros(CONTEXT, np.int32), symbols.astype(np.int32)])
+    for at in range(0, len(symbols), PIECE):
+        yield padded[at : at + CONTEXT + PIECE]
+
+
+def pack(piece: np.ndarray) -> bytes:
+    """Three bytes a symbol: all low halves, then the rest, which compresses well."""
+    return (piece & 0xFFFF).astype("<u2").tobytes() + (piece >> 16).astype(np.uint8).tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    n = len(data) // 3
+    return np.frombuffer(data, "<u2", n).astype(np.int32) + (np.frombuffer(data, np.uint8, n, 2 * n).astype(np.int32) << 16)
 
 
 class Vocabulary:
@@ -253,46 +337,99 @@ class Vocabulary:
         self.count = np.array([0, *(n for _, n in words)], np.float64)
         self.symbol = np.array([0, *(k + 1 if k < FREQUENT else SIZE + k - FREQUENT for k in range(len(words)))], np.int64)
 
-    def read(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the words (-1: not in the head) and symbols, with the end."""
-        number = np.fromiter((self.number.get(w, -1) for w in found), np.int64, len(found))
-        symbol = self.symbol[number]
-        for k in np.flatnonzero(number < 0).tolist():
-            symbol[k] = word_class(found[k])
-        return number, np.append(symbol, 0)
+    def read(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray, Counter]:
+        """Numbers of the words in the head, symbols with the end, and the words outside the head with their times."""
+        number = np.fromiter(map(self.number.get, found, repeat(-1)), np.int64, len(found))
+        symbol = np.append(self.symbol[number], 0)
+        outside = np.flatnonzero(number < 0)
+        unknown = [found[k] for k in outside.tolist()]
+        times = Counter(unknown)
+        of_class = {w: word_class(w) for w in times}
+        symbol[outside] = [of_class[w] for w in unknown]
+        return number[number >= 0], symbol, times
 
     def grouped(self) -> np.ndarray:
         """Counts of the head words that are predicted in groups."""
         return self.count[1 + FREQUENT :]
 
 
+PARTS = "doc_id string, rid long, part int, key long, symbols binary, n_tokens long, n_known long, base_score double, words array<string>, times array<int>"
+
+
+def read_parts(docs: DataFrame, vocabulary: Vocabulary, end_known: bool = True, end_base: float = 0.0, base: float = 0.0) -> DataFrame:
+    """Each text in symbols, a row per piece; the first one also has the text's counts, and the words outside the head with their times.
+
+    ``rid`` numbers the rows of ``docs``, ``key`` is a hash of doc_id and text.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    names = [c.split()[0] for c in PARTS.split(", ")]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = shared.value
+        log_count = np.log10(words.count + 1)
+        for b in batches:
+            rows = []
+            for doc_id, rid, key, text in zip(b["doc_id"], b["rid"], b["key"], b["text"], strict=True):
+                found = tokens(text)
+                known, symbols, unknown = words.read(found)
+                told = (len(found) + 1, len(known) + end_known, log_count[known].sum() - base * len(known) + end_base)
+                outside = ([w.decode("utf-8", "replace") for w in unknown], list(unknown.values()))
+                for part, piece in enumerate(pieces(symbols)):
+                    rows.append((doc_id, rid, part, key, pack(piece), *((*told, *outside) if part == 0 else (0, 0, 0.0, None, None))))
+            yield pd.DataFrame(rows, columns=names)
+
+    doc_id = F.col("doc_id").cast("string").alias("doc_id")
+    key = F.xxhash64(F.col("doc_id").cast("string"), "text").alias("key")
+    return docs.select(doc_id, F.monotonically_increasing_id().alias("rid"), key, "text").mapInPandas(read, PARTS)
+
+
 def train(docs: DataFrame, vocabulary: Vocabulary, unigram: np.ndarray) -> Model:
-    """In each round every task trains a copy of the model on its share of the positions of all its texts. The copies' mean goes on,
-    each parameter weighted by the steps that touched it. ``seen`` of the model counts the positions."""
+    """The model after training on all positions of ``docs``; ``seen`` counts them."""
+    return train_parts(stored(read_parts(docs, vocabulary), "lm-parts"), vocabulary, unigram)
+
+
+def shard(rounds: int, shards: int) -> tuple[Column, Column]:
+    """The round and the shard that a piece is trained in."""
+    place = F.pmod(F.xxhash64("key", "part"), F.lit(rounds * shards))
+    return (place % rounds).cast("int"), F.floor(place / rounds).cast("int")
+
+
+def train_parts(parts: DataFrame, vocabulary: Vocabulary, unigram: np.ndarray) -> Model:
+    """In each round every shard trains a copy of the model on its pieces, in the order of their keys. The copies' mean goes on,
+    each parameter weighted by the steps that touched it; it is taken of at most FAN copies at once, so that no task reads more.
+
+    The copies of one repeated row (doc_id and text) are trained in one shard.
+    """
     model = Model(unigram, vocabulary.grouped())
-    spark = docs.sparkSession
+    spark = parts.sparkSession
+    own = parts.select("key", "part", "symbols")
+    positions = own.agg(F.coalesce(F.sum(F.length("symbols") / 3 - CONTEXT), F.lit(0.0)).cast("long")).first()[0]
+    shards = max(1, math.ceil(positions / (ROUNDS * SHARE)))
+    turn_of, shard_of = shard(ROUNDS, shards)
+    schema = "copy long, name string, at int, row binary, value binary, uses binary, seen long"
+    names = [c.split()[0] for c in schema.split(", ")]
     seen = 0
     for turn in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((vocabulary, model))
+        shared = spark.sparkContext.broadcast(model)
 
         def learn(batches: Iterator[pd.DataFrame], turn: int = turn, shared=shared) -> Iterator[pd.DataFrame]:
-            words, start = shared.value
-            trainer = Trainer(start.copy(), turn)
-            befores, symbols, waiting = [], [], 0
+            trainer, waiting, n, copy = None, [], 0, 0
             for b in batches:
-                for text in b["text"]:
-                    _, symbol = words.read(tokens(text))
-                    chosen = positions(text, len(symbol), turn)
-                    befores.append(_before(symbol)[chosen]), symbols.append(symbol[chosen])
-                    waiting += len(chosen)
-                    if waiting >= 16 * BATCH:
-                        trainer.learn(befores, symbols)
-                        befores, symbols, waiting = [], [], 0
+                for symbols in b["symbols"]:
+                    if trainer is None:
+                        trainer, copy = Trainer(shared.value.copy(), turn), int(b["shard"].iloc[0])
+                    waiting.append(unpack(symbols))
+                    n += len(waiting[-1])
+                    if n >= 16 * BATCH:
+                        trainer.learn(waiting)
+                        waiting, n = [], 0
+            if trainer is None:
+                return
             if waiting:
-                trainer.learn(befores, symbols)
-            yield pd.DataFrame([("", 0, b"", b"", b"", trainer.seen)], columns=names)
+                trainer.learn(waiting)
+            yield pd.DataFrame([(copy, "", 0, b"", b"", b"", trainer.seen)], columns=names)
             for part in trainer.learned():
-                yield pd.DataFrame([(*part, 0)], columns=names)
+                yield pd.DataFrame([(copy, *part, 0)], columns=names)
 
         def mean(key: tuple, copies: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total, steps, n = np.zeros((ROWS, DIM)), np.zeros(ROWS), 0
@@ -301,22 +438,23 @@ def train(docs: DataFrame, vocabulary: Vocabulary, unigram: np.ndarray) -> Model
                 for row, value, uses in zip(b["row"], b["value"], b["uses"], strict=True):
                     row, uses = np.frombuffer(row, np.int32), np.frombuffer(uses, np.float32)
                     if len(row):
-                        value = np.frombuffer(value, np.float32).reshape(len(row), -1)
-                        total[row, : value.shape[1]] += value.astype(np.float64) * uses[:, None]
+                        total[row] += np.frombuffer(value, np.float32).reshape(len(row), DIM).astype(np.float64) * uses[:, None]
                         steps[row] += uses
             row = np.flatnonzero(steps)
-            value = (total[row] / steps[row, None]).astype(np.float32)[:, : 1 if key[0] in ("b", "d") else DIM]
-            yield pd.DataFrame([(*key, row.astype(np.int32).tobytes(), value.tobytes(), b"", n)], columns=names)
-
-        schema = "name string, at int, row binary, value binary, uses binary, seen long"
-        names = [c.split()[0] for c in schema.split(", ")]
-        for r in docs.select("text").mapInPandas(learn, schema).groupBy("name", "at").applyInPandas(mean, schema).collect():
+            value = (total[row] / steps[row, None]).astype(np.float32)
+            yield pd.DataFrame([(*key, row.astype(np.int32).tobytes(), value.tobytes(), steps[row].astype(np.float32).tobytes(), n)], columns=names)
+
+        pieces_of = own.filter(turn_of == turn).withColumn("shard", shard_of).repartitionById(shards, F.col("shard"))
+        copies = pieces_of.sortWithinPartitions("key", "part").mapInPandas(learn, schema)
+        left = shards
+        while left > 1:
+            left = math.ceil(left / FAN)
+            copies = copies.withColumn("copy", F.floor(F.col("copy") / FAN)).groupBy("copy", "name", "at").applyInPandas(mean, schema)
+        for r in copies.collect():
             seen += r["seen"]
             if r["name"]:
                 values, row = getattr(model, r["name"]), r["at"] + np.frombuffer(r["row"], np.int32)
-                value = np.frombuffer(r["value"], np.float32).reshape(len(row), *values.shape[1:])
-                told = np.isfinite(value.reshape(len(row), -1)).all(axis=1)
-                values[row[told]] = value[told]
+                values[row] = np.frombuffer(r["value"], np.float32).reshape(len(row), DIM)
         shared.unpersist()
     model.seen = seen
     return model
@@ -348,59 +486,47 @@ def score(docs: DataFrame) -> DataFrame:
     for c, (c_n, c_v) in classes.items():
         unigram[c] += c_n
         room[c] = c_n + c_v + 1
-    model = train(learned, vocabulary, unigram)
-    shared = spark.sparkContext.broadcast((vocabulary, model))
     base = float(np.log10(n + v + 1))
+    parts = stored(read_parts(docs, vocabulary, ends > 0, float(np.log10(ends + 1)) - base, base), "lm-parts")
+    model = train_parts(parts.filter(~held_out(F.col("doc_id"))), vocabulary, unigram)
+    shared = spark.sparkContext.broadcast(model)
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, m = shared.value
-        log_count = np.log10(words.count + 1)
-        end_base = float(np.log10(ends + 1)) - base
+        m, waiting, n = shared.value, [], 0
+
+        def out() -> pd.DataFrame:
+            frame = pd.concat(waiting)
+            found = [unpack(x) for x in frame["symbols"]]
+            stream, wanted = joined(found)
+            at = np.flatnonzero(wanted[CONTEXT:])
+            logs = m.of_contexts(m.contexts(stream)[at], stream[CONTEXT:][at])
+            sizes = [len(x) - CONTEXT for x in found]
+            starts = np.concatenate([[0], np.cumsum(sizes[:-1])]).astype(np.int64)
+            return pd.DataFrame({"rid": frame["rid"].to_numpy(), "score": np.add.reduceat(logs, starts) / np.log(10)})
+
         for b in batches:
-            rows, befores, outcomes, sizes, tails = [], [], [], [], []
-            waiting = 0
-
-            def out() -> Iterator[pd.DataFrame]:
-                before, outcome = np.concatenate(befores), np.concatenate(outcomes)
-                logs = m.log_probabilities(before, outcome)
-                starts = np.concatenate([[0], np.cumsum(sizes[:-1])]).astype(np.int64)
-                neural = np.add.reduceat(logs, starts) / np.log(10)
-                frame = pd.DataFrame(rows, columns=["rid", "doc_id", "n_tokens", "n_known", "base_score", "score"])
-                yield frame.assign(score=frame["score"] + neural, word=None, outcome=0, times=0)[names]
-                if tails:
-                    tail = pd.DataFrame(tails, columns=["rid", "word", "outcome", "times"])
-                    yield tail.assign(doc_id=None, n_tokens=0, n_known=0, base_score=0.0, score=0.0)[names]
-
-            ids = b["doc_id"].astype(object).where(b["doc_id"].notna(), None)
-            for rid, doc_id, text in zip(b["rid"], ids, b["text"], strict=True):
-                found = tokens(text)
-                number, outcome = words.read(found)
-                known = number[number >= 0]
-                unknown = Counter([found[k] for k in np.flatnonzero(number < 0).tolist()])
-                rows.append((rid, doc_id, len(found) + 1, len(known) + (ends > 0), log_count[known].sum() - base * len(known) + end_base, 0.0))
-                tails += [(rid, w.decode("utf-8", "replace"), word_class(w), t) for w, t in unknown.items()]
-                befores.append(_before(outcome)), outcomes.append(outcome), sizes.append(len(outcome))
-                waiting += len(outcome)
-                if waiting > 100_000:
-                    yield from out()
-                    rows, befores, outcomes, sizes, tails, waiting = [], [], [], [], [], 0
-            if rows:
-                yield from out()
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"rid long, doc_id {kind}, n_tokens long, n_known long, base_score double, score double, word string, outcome int, times long"
-    names = [c.strip().split()[0] for c in schema.split(",")]
-    parts = stored(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").mapInPandas(of, schema), "lm-parts")
-    rest = parts.filter("word is not null").select("rid", "word", "outcome", "times").join(counts, "word", "left")
+            size = b["symbols"].str.len() // 3
+            first = 0
+            for k, s in enumerate(size.tolist()):
+                n += s
+                if n > WAIT:
+                    waiting.append(b.iloc[first : k + 1])
+                    yield out()
+                    waiting, n, first = [], 0, k + 1
+            if first < len(b):
+                waiting.append(b.iloc[first:])
+        if waiting:
+            yield out()
+
+    texts = parts.select("rid", "symbols").mapInPandas(of, "rid long, score double")
+    first = parts.filter("part = 0")
+    rest = first.select("rid", F.explode(F.arrays_zip("words", "times")).alias("x")).select("rid", F.col("x.words").alias("word"), "x.times")
     c = F.coalesce("n", F.lit(0))
-    of_class = F.element_at(F.array(*[F.lit(float(x)) for x in room]), F.col("outcome") + 1)
-    sums = rest.groupBy("rid").agg(
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("times") * (F.log10(c + 1) - base)).alias("more_base"), F.sum(F.col("times") * F.log10((c + 1) / of_class)).alias("more_score"),
-    )
-    joined = parts.filter("word is null").join(sums, "rid", "left")
-    more = lambda x: F.coalesce(x, F.lit(0))
-    return joined.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("n_known") + more("more_known")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base_score") + more("more_base")).alias("base_score"), (F.col("score") + more("more_score")).alias("score"),
+    of_class = F.element_at(F.array(*[F.lit(float(x)) for x in room]), _of_class(F.col("word")) + 1)
+    tails = rest.join(counts, "word", "left").select(
+        "rid", F.when(c > 0, F.col("times").cast("long")).otherwise(0).alias("n_known"), (F.col("times") * (F.log10(c + 1) - base)).alias("base_score"),
+        (F.col("times") * F.log10((c + 1) / of_class)).alias("score"),
     )
+    told = first.select("rid", "doc_id", "n_tokens", "n_known", "base_score").unionByName(texts, True).unionByName(tails, True)
+    sums = told.groupBy("rid").agg(F.max("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base_score", "score")])
+    return sums.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(total["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")

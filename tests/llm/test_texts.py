@@ -214,9 +214,60 @@ def test_every_position_is_trained_on(spark, docs):
     head = sorted(((w, n) for w, n in counts.items() if w), key=lambda x: (-x[1], x[0]))
     model = neural_lm.train(docs(*texts), neural_lm.Vocabulary(head), np.ones(neural_lm.SIZE))
     assert model.seen == sum(counts.values())
-    for n in (1, 2, 3, 30):
-        chosen = [neural_lm.positions("text", n, turn).tolist() for turn in range(neural_lm.ROUNDS)]
-        assert sorted(sum(chosen, [])) == list(range(n))
+    for n in (1, 2, 3, neural_lm.PIECE, neural_lm.PIECE + 1, 3 * neural_lm.PIECE - 1):
+        symbols = np.arange(1, n + 1, dtype=np.int32) * 17
+        found = [neural_lm.unpack(neural_lm.pack(p)) for p in neural_lm.pieces(symbols)]
+        stream, wanted = neural_lm.joined(found)
+        assert stream[wanted].tolist() == symbols.tolist(), "each position once"
+        padded = [0] * neural_lm.CONTEXT + symbols.tolist()
+        assert all(p[: neural_lm.CONTEXT].tolist() == padded[k * neural_lm.PIECE :][: neural_lm.CONTEXT] for k, p in enumerate(found))
+
+
+def test_copies_are_averaged(spark, docs, monkeypatch):
+    monkeypatch.setattr(neural_lm, "SHARE", 500)
+    monkeypatch.setattr(neural_lm, "FAN", 2)
+    rng = random.Random(12)
+    texts = [prose(rng, rng.randrange(1, 60), 40) for _ in range(200)]
+    counts = Counter(w for t in texts for w in [*t.split(), ""])
+    head = sorted(((w, n) for w, n in counts.items() if w), key=lambda x: (-x[1], x[0]))
+    words = neural_lm.Vocabulary(head)
+    df = docs(*texts)
+    model = neural_lm.train(df.repartition(5), words, np.ones(neural_lm.SIZE))
+    assert model.seen == sum(counts.values())
+    again = neural_lm.train(df.coalesce(1), words, np.ones(neural_lm.SIZE))
+    assert np.allclose(model.flat(), again.flat(), atol=1e-5)
+    assert not np.allclose(model.flat(), neural_lm.Model(np.ones(neural_lm.SIZE), words.grouped()).flat(), atol=1e-2)
+
+
+def test_scores_do_not_depend_on_partitions(spark, docs):
+    rng = random.Random(13)
+    texts = [prose(rng, rng.randrange(1, 80), 300) for _ in range(300)] + [None, ""]
+    df = docs(*texts)
+    of = lambda part: [(r["doc_id"], r["score"]) for r in neural_lm.score(part).orderBy("doc_id").collect()]
+    one, eight, many = of(df.coalesce(1)), of(df.repartition(8)), of(df.repartition(64, "text"))
+    assert [k for k, _ in one] == [k for k, _ in eight] == [k for k, _ in many] == list(range(302))
+    for other in (eight, many):
+        assert [x for _, x in other] == pytest.approx([x for _, x in one], abs=1e-3)
+
+
+def test_scores_are_a_plain_forward_pass():
+    rng = np.random.default_rng(14)
+    model = neural_lm.Model(np.ones(neural_lm.SIZE), np.sort(rng.integers(1, 50, 30))[::-1].astype(float))
+    model.load(rng.normal(0, 0.7, len(model.flat())))
+    text = rng.integers(0, neural_lm.SIZE + 30, 50)
+    stream, wanted = neural_lm.joined(list(neural_lm.pieces(text)))
+    got = model.of_contexts(model.contexts(stream), stream[neural_lm.CONTEXT :])
+    softmax = lambda x: np.exp(x) / np.exp(x).sum()
+    for k, symbol in enumerate(text):
+        before = [0, 0, 0, 0, *text[:k]][-1 : -neural_lm.CONTEXT - 1 : -1]
+        h = np.sum([model.r[x].astype(float) * model.c[j] for j, x in enumerate(before)], axis=0)
+        h[-1] = 1
+        word, sub = symbol - neural_lm.SIZE, model.sub
+        p = softmax(model.q @ h)[symbol if word < 0 else neural_lm.SIZE + word // sub**2]
+        if word >= 0:
+            for vectors, x in ((model.u, word // sub), (model.w, word)):
+                p *= softmax(vectors[x // sub * sub : x // sub * sub + sub] @ h)[x % sub]
+        assert got[k] == pytest.approx(math.log(p), abs=1e-4)
 
 
 def test_probabilities_are_normalised():
@@ -235,8 +286,17 @@ def test_rare_words_have_their_own_context(spark, docs):
     counts = Counter(w for t in texts for w in [*t.split(), ""])
     head = [(f"cc{k}", 10**6) for k in range(neural_lm.FREQUENT)] + sorted(((w, n) for w, n in counts.items() if w), key=lambda x: (-x[1], x[0]))
     words = neural_lm.Vocabulary(head)
-    model = neural_lm.train(docs(*texts), words, np.ones(neural_lm.SIZE))
-    assert len(model.w) == 600 and len(model.r) == neural_lm.SIZE + 600
+    for partitions in (1, 4):
+        model = neural_lm.train(docs(*texts).repartition(partitions), words, np.ones(neural_lm.SIZE))
+        assert len(model.w) == 600 and len(model.r) == neural_lm.SIZE + 600
+        symbol = lambda w: int(words.symbol[words.number[w.encode()]])
+        seconds = [b for _, b in pairs]
+        own, other = [], []
+        for a, b in pairs[:40]:
+            before = np.array([[symbol(a), 0, 0, 0]])
+            told = lambda w, before=before: float(model.log_probabilities(before, np.array([symbol(w)]))[0])
+            own.append(told(b)), other.append(np.mean([told(x) for x in seconds[40:60]]))
+        assert np.mean(own) - np.mean(other) > math.log(10), "a word's partner is likelier than others"
     sample = np.random.default_rng(9).integers(0, len(model.r), (2, neural_lm.CONTEXT))
     for row in sample:
         every = model.log_probabilities(np.repeat(row[None], len(model.r), 0), np.arange(len(model.r)))
