@@ -20,10 +20,12 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from copy import copy
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from graphreports.llm.common import stored
@@ -50,6 +52,15 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def _split(text: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The words of texts one after the other, as ``tokens`` reads them, and of which text each is."""
+    low = pc.ascii_lower(pc.fill_null(text.cast(pa.large_string()), ""))
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(low))
+    found, of = lists.flatten(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    some = pc.not_equal(pc.binary_length(found), 0)  # a text without words is read as one empty word
+    return of[some.to_numpy(zero_copy_only=False)], found.filter(some)
+
+
 def word_class(word: bytes) -> int:
     return 1 + FREQUENT + zlib.crc32(word[:2]) % CLASSES
 
@@ -125,8 +136,9 @@ class Model:
             setattr(self, name, vectors)
 
     def copy(self) -> Model:
-        own = Model(self.unigram, self.grouped)
-        own.load(self.flat())
+        own = copy(self)
+        for name in self.NAMES:
+            setattr(own, name, getattr(self, name).copy())
         return own
 
     def flat(self) -> np.ndarray:
@@ -245,7 +257,7 @@ class Trainer:
         """Learn to tell the outcomes of a level from noise; the gradient of the loss by the context vectors."""
         vectors = getattr(self.m, self.m.LEVELS[level])
         cumulative, expected = self.levels[level]
-        noise = np.minimum(np.searchsorted(cumulative, self.rng.random(NOISE) * cumulative[-1]), len(cumulative) - 1)
+        noise = np.minimum(np.searchsorted(cumulative, self.rng.random(NOISE) * cumulative[-1]), len(cumulative) - 1).astype(outcome.dtype)
         of_true, of_noise = vectors[outcome], vectors[noise]
         for_true = np.einsum("ij,ij->i", h, of_true)
         for_true -= expected[outcome]
@@ -337,17 +349,6 @@ class Vocabulary:
         self.count = np.array([0, *(n for _, n in words)], np.float64)
         self.symbol = np.array([0, *(k + 1 if k < FREQUENT else SIZE + k - FREQUENT for k in range(len(words)))], np.int64)
 
-    def read(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray, Counter]:
-        """Numbers of the words in the head, symbols with the end, and the words outside the head with their times."""
-        number = np.fromiter(map(self.number.get, found, repeat(-1)), np.int64, len(found))
-        symbol = np.append(self.symbol[number], 0)
-        outside = np.flatnonzero(number < 0)
-        unknown = [found[k] for k in outside.tolist()]
-        times = Counter(unknown)
-        of_class = {w: word_class(w) for w in times}
-        symbol[outside] = [of_class[w] for w in unknown]
-        return number[number >= 0], symbol, times
-
     def grouped(self) -> np.ndarray:
         """Counts of the head words that are predicted in groups."""
         return self.count[1 + FREQUENT :]
@@ -364,23 +365,39 @@ def read_parts(docs: DataFrame, vocabulary: Vocabulary, end_known: bool = True,
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     names = [c.split()[0] for c in PARTS.split(", ")]
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
         log_count = np.log10(words.count + 1)
+        head = pa.array(list(words.number), pa.large_binary()).cast(pa.large_string())
         for b in batches:
-            rows = []
-            for doc_id, rid, key, text in zip(b["doc_id"], b["rid"], b["key"], b["text"], strict=True):
-                found = tokens(text)
-                known, symbols, unknown = words.read(found)
-                told = (len(found) + 1, len(known) + end_known, log_count[known].sum() - base * len(known) + end_base)
-                outside = ([w.decode("utf-8", "replace") for w in unknown], list(unknown.values()))
-                for part, piece in enumerate(pieces(symbols)):
-                    rows.append((doc_id, rid, part, key, pack(piece), *((*told, *outside) if part == 0 else (0, 0, 0.0, None, None))))
-            yield pd.DataFrame(rows, columns=names)
+            text, of, found = b.num_rows, *_split(b.column("text"))
+            number = pc.fill_null(pc.index_in(found, value_set=head), -1).to_numpy(zero_copy_only=False) + 1  # 0: outside the head
+            symbols, outside = words.symbol[number], np.flatnonzero(number == 0)
+            coded = found.take(pa.array(outside)).dictionary_encode()
+            code, unknown = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+            symbols[outside] = np.array([word_class(w.encode("utf-8", "surrogatepass")) for w in unknown.to_pylist()], np.int64)[code]
+            pair, times = np.unique(of[outside] * max(len(unknown), 1) + code, return_counts=True)
+            edges = np.searchsorted(pair, np.arange(text + 1) * max(len(unknown), 1)).astype(np.int32)
+            of_text = lambda values, edges=edges: pa.ListArray.from_arrays(pa.array(edges), values)
+            tails = of_text(unknown.cast(pa.string()).take(pa.array(pair % max(len(unknown), 1)))), of_text(pa.array(times.astype(np.int32)))
+            n = np.bincount(of, minlength=text)
+            known = np.bincount(of[number > 0], minlength=text)
+            scores = np.bincount(of, weights=np.where(number > 0, log_count[number] - base, 0.0), minlength=text) + end_base
+            row, part, packed = [], [], []
+            ends = np.cumsum(n)
+            for k in range(text):
+                for turn, piece in enumerate(pieces(np.append(symbols[ends[k] - n[k] : ends[k]], 0))):
+                    row.append(k), part.append(turn), packed.append(pack(piece))
+            first = np.array(part, np.int32) == 0
+            row = np.array(row, np.int64)
+            once = pa.array(row, mask=~first)
+            told = [b.column("doc_id").take(pa.array(row)), b.column("rid").take(pa.array(row)), pa.array(part, pa.int32()), b.column("key").take(pa.array(row)), pa.array(packed, pa.binary())]
+            told += [pa.array(np.where(first, x[row], 0).astype(t)) for x, t in ((n + 1, np.int64), (known + int(end_known), np.int64), (scores, np.float64))]
+            yield pa.RecordBatch.from_arrays([*told, *(x.take(once) for x in tails)], names=names)
 
     doc_id = F.col("doc_id").cast("string").alias("doc_id")
     key = F.xxhash64(F.col("doc_id").cast("string"), "text").alias("key")
-    return docs.select(doc_id, F.monotonically_increasing_id().alias("rid"), key, "text").mapInPandas(read, PARTS)
+    return docs.select(doc_id, F.monotonically_increasing_id().alias("rid"), key, "text").mapInArrow(read, PARTS)
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, unigram: np.ndarray) -> Model:
@@ -413,11 +430,11 @@ def train_parts(parts: DataFrame, vocabulary: Vocabulary, unigram: np.ndarray) -
         shared = spark.sparkContext.broadcast(model)
 
         def learn(batches: Iterator[pd.DataFrame], turn: int = turn, shared=shared) -> Iterator[pd.DataFrame]:
-            trainer, waiting, n, copy = None, [], 0, 0
+            trainer, waiting, n, number = None, [], 0, 0
             for b in batches:
                 for symbols in b["symbols"]:
                     if trainer is None:
-                        trainer, copy = Trainer(shared.value.copy(), turn), int(b["shard"].iloc[0])
+                        trainer, number = Trainer(shared.value.copy(), turn), int(b["shard"].iloc[0])
                     waiting.append(unpack(symbols))
                     n += len(waiting[-1])
                     if n >= 16 * BATCH:
@@ -427,9 +444,9 @@ def train_parts(parts: DataFrame, vocabulary: Vocabulary, unigram: np.ndarray) -
                 return
             if waiting:
                 trainer.learn(waiting)
-            yield pd.DataFrame([(copy, "", 0, b"", b"", b"", trainer.seen)], columns=names)
+            yield pd.DataFrame([(number, "", 0, b"", b"", b"", trainer.seen)], columns=names)
             for part in trainer.learned():
-                yield pd.DataFrame([(copy, *part, 0)], columns=names)
+                yield pd.DataFrame([(number, *part, 0)], columns=names)
 
         def mean(key: tuple, copies: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total, steps, n = np.zeros((ROWS, DIM)), np.zeros(ROWS), 0

@@ -8,6 +8,7 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -311,6 +312,15 @@ def test_language_model_without_training_rows(spark, docs):
     assert neural_lm.score(only.limit(0)).count() == 0
 
 
+def test_batches_are_split_like_texts():
+    texts = ["", None, " A b\x0b\x0cC\r\n", "\x1cx\x85 \u00a0y\u2003z", "ÉÀ É", " ", "one", "\t"]
+    of, found = neural_lm._split(pa.array(texts))
+    got = [[] for _ in texts]
+    for k, w in zip(of.tolist(), found.to_pylist(), strict=True):
+        got[k].append(w.encode())
+    assert got == [neural_lm.tokens(t) for t in texts]
+
+
 def test_word_class_is_the_same_in_the_jvm(spark):
     words = ["a", "é", "ab", "日本", "x'"]
     df = spark.createDataFrame([(w,) for w in words], "w string").select(neural_lm._of_class(F.col("w")).alias("c"))
