@@ -96,3 +96,13 @@ def test_the_prefix_is_joined_once_for_all_reports(spark, rows, tmp_path, monkey
         assert same(df, plain[name]), name
         assert "held_by" not in plan(df)  # no report joins sessions with bodies itself
         assert spark.read.schema(df.schema).parquet(f"{tmp_path}/reports/{name}").count() == plain[name].count()
+
+
+def test_buckets_do_not_fill_up(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(buckets, "FULL", 1000)
+    key = F.when(F.col("id") % 4 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("key")
+    many = spark.range(10_000).select(key, F.col("id").alias("x"))
+    stored = buckets.save_split({"many": many, "few": many.limit(10)}, ["key"], str(tmp_path / "b"), 4)["many"]
+    assert stored.cold.groupBy("key").count().rdd.getNumPartitions() == 12
+    assert stored.hot.count() == 2500 and stored.cold.count() == 7500 and stored.cold.filter("key = 'hot'").isEmpty()
+    assert buckets.enough([0], 8) == 8 and buckets.enough([4001], 4) == 8
