@@ -62,6 +62,12 @@ def test_metrics(tables, bodies, name, n):
     assert got == ([("h", "u", n)] if n else [])
 
 
+def test_a_null_is_no_item(tables, bodies, rows):
+    more = {**tables, "session_item": tables["session_item"].union(rows(SCHEMAS["session_item"], ("h", "s1", None)))}
+    assert [r["n"] for r in metrics.count_items(more, bodies).collect()] == [4]
+    assert sorted(metrics.unit_metrics(more, bodies).collect()) == sorted(metrics.unit_metrics(tables, bodies).collect())
+
+
 def test_item_in_two_duplicate_titles_counts_twice(tables, bodies, rows):
     tables = {**tables, "item_title": tables["item_title"].union(rows(SCHEMAS["item_title"], ("h", "i2", "B", "d", None)))}
     assert metrics.count_duplicate_items(tables, bodies).first().n == 4
