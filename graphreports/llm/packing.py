@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import os
 import random
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,15 +27,21 @@ BLOCK = 1500  # pieces of a block, about
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 4, 3
 FULL = 0.995  # bins filled less are dealt anew
 CACHE = 500_000  # words in each of the two generations a worker remembers
-_ENDINGS = b".,!?;:*%&#$|"
+# Lower-case words of printable ASCII and the Latin letters beside it, and the pieces that the vocabulary's steps before the model split
+# them into; the model is given bytes as characters.
+_LATIN = rb"\xc3[\x9f-\xb6\xb8-\xbf]"
+_PLAIN = re.compile(rb"(?:[!-~]|" + _LATIN + rb")+")
+_SPLIT = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|(?:[a-z]|" + _LATIN + rb")+|[0-9]|[!-/:-@\[-`{-~]+")
+_SHOWN = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+_BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 class Words:
     """Ids of words as little-endian 32-bit numbers, each word encoded once while it is in use.
 
-    White space ends every token of the vocabulary and A-Z count as a-z, so a text's ids are those of its lower-case words;
-    signs after an ASCII letter are a token of their own, so that a word is encoded once whatever follows it. When the words in
-    use are too many, those not used since the last time are forgotten.
+    White space ends every token of the vocabulary and A-Z count as a-z, so a text's ids are those of its lower-case words.
+    A plain word is put together from its pieces, each encoded once whatever word it is in. When the words in use are too many,
+    those not used since the last time are forgotten.
     """
 
     def __init__(self, path: str):
@@ -44,42 +52,55 @@ class Words:
         self.model = self.tokenizer.model
 
     def _encode(self, words: list[bytes]) -> None:
-        other = []
-        for w in words:
-            if w.isalpha():  # lower-case ASCII letters: one piece, which the steps before the model leave as it is
-                self.young[w] = np.array([t.id for t in self.model.tokenize(w.decode())], "<u4").tobytes()
-            else:
-                other.append(w)
-        for at in range(0, len(other), 1024):
-            part = other[at : at + 1024]
+        """Words as a whole, by all steps of the tokenizer."""
+        for at in range(0, len(words), 1024):
+            part = words[at : at + 1024]
             e = self.tokenizer.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
             cuts = np.searchsorted(e.word_ids, np.arange(len(part) + 1))
             coded = np.array(e.ids, "<u4").tobytes()
             for w, i, j in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 self.young[w] = coded[4 * i : 4 * j]
 
+    def _encode_pieces(self, pieces: list[bytes]) -> None:
+        """Pieces of plain words, by the model alone."""
+        tokenize, young = self.model.tokenize, self.young
+        for at in range(0, len(pieces), 4096):
+            part = pieces[at : at + 4096]
+            ids = [[t.id for t in tokenize(w.decode() if w.isascii() else w.decode("latin-1").translate(_BYTES))] for w in part]
+            coded = np.array(list(chain.from_iterable(ids)), "<u4").tobytes()
+            end = 0
+            for w, x in zip(part, ids, strict=True):
+                start, end = end, end + 4 * len(x)
+                young[w] = coded[start:end]
+
     def _learn(self, words: set[bytes]) -> None:
         young, old = self.young, self.old
         if len(young) > CACHE:
             self.old, self.young = young, {}
             young, old = self.young, self.old
-        parts, new = {}, set()
+        parts, new, other = [], set(), []
         for w in words:
             if w in old:
                 young[w] = old[w]
-                continue
-            core = w.rstrip(_ENDINGS)
-            pair = (core, w[len(core) :]) if core != w and core[-1:].isalpha() else (w,)
-            parts[w] = pair
-            for x in pair:
-                if x in old:
-                    young[x] = old[x]
-                elif x not in young:
-                    new.add(x)
-        self._encode(sorted(new))
-        for w, pair in parts.items():
-            if len(pair) > 1:
-                young[w] = young[pair[0]] + young[pair[1]]
+            elif w.isalpha():  # ASCII letters: one piece
+                new.add(w)
+            elif _PLAIN.fullmatch(w):
+                split = _SPLIT.findall(w)
+                new.update(split)
+                if len(split) > 1:
+                    parts.append((w, split))
+            else:
+                other.append(w)
+        wanted = []
+        for x in new:
+            if x in old:
+                young[x] = old[x]
+            elif x not in young:
+                wanted.append(x)
+        self._encode_pieces(wanted)
+        self._encode(other)
+        for w, split in parts:
+            young[w] = b"".join([young[x] for x in split])
 
     def ids(self, text: str | None) -> bytes:
         raw = (text or "").encode("utf-8", "replace")

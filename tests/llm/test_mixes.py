@@ -109,6 +109,17 @@ def test_words_have_the_ids_of_whole_texts(spark):
         words.old, words.young = words.young, {}
 
 
+def test_plain_words_need_no_more_than_the_model(monkeypatch):
+    tokenizer, words = Tokenizer.from_file(PATH), packing.Words(PATH)
+    texts = ["Don't we'll ÿß 's !'s x'st a1b2 3.14 café's. éé1é, naïve ño;", "~!@#$%^&*()_+`-=[]{}|;:\",./? ab</w> __init__ ó. a--b"]
+    expected = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(words, "_encode", lambda left: pytest.fail(str(left)) if left else None)
+    assert [np.frombuffer(words.ids(t), "<u4").tolist() for t in texts] == expected
+    monkeypatch.undo()
+    other = "÷×ª µ ÀÉ a\x00b \x7f ſ K 中文1a œuvre <é e\u0301 \u00ad"
+    assert np.frombuffer(words.ids(other), "<u4").tolist() == tokenizer.encode(other, add_special_tokens=False).ids
+
+
 def test_crossover_keeps_every_piece(spark):
     import random
 
