@@ -361,3 +361,15 @@ def test_reachable_is_a_chain(spark):
     links = [("f", 10 * k, 10 * (k + 1) if k < 36 else None) for k in range(37)] + [("f", 5, 20), ("g", 0, None), ("g", 7, None)]
     got = {tuple(r) for r in warc.reachable(spark.createDataFrame(links, "file string, start long, next long")).collect()}
     assert got == {("f", 10 * k) for k in range(37)} | {("g", 0)}
+
+
+def test_words_are_counted_and_chosen_in_columns(spark, docs):
+    texts = ["B a é", None, "", "a\x0bb NUL\u0001x", *[f"w{k} a" for k in range(300)]]
+    counts = neural_lm.count_words(docs(*texts).repartition(3))
+    expected = Counter(w.decode() for t in texts for w in [*neural_lm.tokens(t), neural_lm.END])
+    assert {r["word"]: r["n"] for r in counts.collect()} == expected
+    head = neural_lm.head_words(counts.filter("word <> ''"), 5)
+    assert isinstance(head, pa.Table) and head.to_pylist() == [{"word": "a", "n": 302}, {"word": "b", "n": 2}]
+    words = neural_lm.Vocabulary(head)
+    assert (words.words.to_pylist(), words.count.tolist(), words.symbol.tolist()) == (["a", "b"], [0, 302, 2], [0, 1, 2])
+    assert neural_lm.head_words(counts.limit(0)).num_rows == 0
