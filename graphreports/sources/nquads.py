@@ -65,14 +65,15 @@ def _checked(fields: Column, line: Column, form: str) -> Column:
 
 def _with_fields(lines: DataFrame, line: str, *others: Column) -> DataFrame:
     """``others``, ``line`` and ``fields`` of each line. The pattern runs once per line: exploding
-    an array of one keeps later filters from being moved below it, where they would run it again.
-    Only a line it cannot read is tried with the second pattern."""
+    an array of one keeps later filters from being moved below it, where they would run it again, and
+    the checks from being put into every column made of the fields. Only a line it cannot read is tried with the second pattern."""
     c = F.col("line")
     first = lines.select(
         *others, F.col(line).alias("line"), F.explode_outer(F.array(_rewritten(F.col(line), STATEMENT))).alias("first")
     )
     second = _checked(_rewritten(c, COMMENTED), c, COMMENTED)
-    return first.withColumn("fields", F.coalesce(_checked(F.col("first"), c, STATEMENT), second)).drop("first")
+    fields = F.coalesce(_checked(F.col("first"), c, STATEMENT), second)
+    return first.select(*[x for x in first.columns if x != "first"], F.explode_outer(F.array(fields)).alias("fields"))
 
 
 _LOCAL = "^file:/+"  # local paths are written with one slash or three

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from checks.catalogue import QUERIES
 from checks.projection import Projection
 from graphreports.operators import metrics, publications, sessions
+from graphreports.sources import nquads
 from graphreports.sources.store import load_dimension, save_dimension
 
 SF = "/root/testdata/sf0.001"
@@ -134,3 +135,11 @@ def test_hot_session_and_unit_are_counted_whole(spark, tiny_partitions):
     assert "skew=true" in text
     hot = counts.filter("unit_uri = 'u-hot'").first().n
     assert hot == 10000 and counts.agg(F.sum("n")).first()[0] == 30000
+
+
+def test_a_line_is_checked_once(spark):
+    lines = spark.createDataFrame([("<s> <p> \"a\\u0041\" .",), ("broken",), ("<s> <p> <o> . # said",), (None,)], "value string")
+    quads = nquads.parse_nquads(lines, "h")
+    above = quads._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert "regexp_replace" not in above, "terms are read from fields, not from the line again"
+    assert sorted(r["o"] for r in quads.collect()) == ["aA", "o"]
