@@ -559,6 +559,8 @@ def score(docs: DataFrame) -> DataFrame:
         "rid", F.when(c > 0, F.col("times").cast("long")).otherwise(0).alias("n_known"), (F.col("times") * (F.log10(c + 1) - base)).alias("base_score"),
         (F.col("times") * F.log10((c + 1) / of_class)).alias("score"),
     )
+    # Numbers alone are summed by hash; with the ids, which are text, all rows would be sorted.
+    tails = tails.groupBy("rid").agg(*[F.sum(x).alias(x) for x in ("n_known", "base_score", "score")])
     told = first.select("rid", "doc_id", "n_tokens", "n_known", "base_score").unionByName(texts, True).unionByName(tails, True)
     sums = told.groupBy("rid").agg(F.max("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base_score", "score")])
     return sums.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(total["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
