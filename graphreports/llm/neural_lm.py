@@ -40,6 +40,7 @@ FAN = 64  # copies of a parameter that are averaged at once
 ROWS = 1 << 12  # rows of a parameter that are sent back together
 HEAD = 150_000  # words whose vectors and counts every task holds; the counts of all others are joined
 WAIT = 1 << 18  # positions that are scored at once
+KEYS, PAIRS = 1 << 18, 1 << 20  # counts that a task holds as a hash table to look up rare words in, and rare words of texts it looks up, about
 END = b""
 
 
@@ -64,6 +65,24 @@ def word_class(word: bytes) -> int:
     return 1 + FREQUENT + zlib.crc32(word[:2]) % CLASSES
 
 
+# The classes of words of two bytes and more by their first two, and of those of one byte.
+_OF_TWO = np.array([word_class(bytes([k >> 8, k & 255])) for k in range(1 << 16)])
+_OF_ONE = np.array([word_class(bytes([k])) for k in range(256)])
+
+
+def _classes(words: pa.LargeStringArray) -> np.ndarray:
+    """``word_class`` of many words, none of them empty, null, or valid in parts of their buffers alone."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+    data, first = np.frombuffer(data, np.uint8), at[:-1]
+    two = np.flatnonzero(np.diff(at) > 1)
+    out = _OF_ONE.take(data.take(first))
+    out[two] = _OF_TWO.take(data.take(first[two]).astype(np.int64) * 256 + data.take(first[two] + 1))
+    return out
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) over all texts; the end of a text is the empty word."""
 
@@ -160,10 +179,14 @@ class Model:
 
     def contexts(self, stream: np.ndarray) -> np.ndarray:
         """Context vectors of the symbols of ``stream`` after its first CONTEXT."""
-        r, n = _rows(self.r, stream), len(stream) - CONTEXT
-        h = r[CONTEXT - 1 : CONTEXT - 1 + n] * self.c[0]
-        for k in range(1, CONTEXT):
-            h += r[CONTEXT - 1 - k : CONTEXT - 1 - k + n] * self.c[k]
+        n, block = len(stream) - CONTEXT, 4096  # as many as stay near the processor
+        h = np.empty((n, DIM), np.float32)
+        for at in range(0, n, block):
+            part = h[at : at + block]
+            r = _rows(self.r, stream[at : at + len(part) + CONTEXT - 1])
+            np.multiply(r[CONTEXT - 1 :], self.c[0], out=part)
+            for k in range(1, CONTEXT):
+                part += r[CONTEXT - 1 - k : len(r) - k] * self.c[k]
         h[:, -1] = 1
         return h
 
@@ -187,10 +210,10 @@ class Model:
         order = np.argsort(parent)
         h, within, parent = _rows(h, order), (outcome - parent * self.sub).take(order), parent.take(order)
         edges = np.flatnonzero(np.diff(parent, prepend=-1, append=-1)).tolist()
-        told = np.empty(len(outcome))
+        told, ones = np.empty(len(outcome)), np.ones(self.sub, np.float32)
         for start, end in zip(edges, edges[1:]):
             at = int(parent[start]) * self.sub
-            _log_softmax(h[start:end], vectors[at : at + self.sub], within[start:end], told[start:end], far)
+            _log_softmax(h[start:end], vectors[at : at + self.sub], within[start:end], told[start:end], far, ones)
         out = np.empty(len(outcome))
         out[order] = told
         return out
@@ -207,12 +230,15 @@ def _far(h: np.ndarray, vectors: np.ndarray) -> bool:
     return widest(h) * widest(vectors) + float(np.abs(vectors[:, -1]).max(initial=0)) > 80
 
 
-def _log_softmax(h: np.ndarray, vectors: np.ndarray, chosen: np.ndarray, out: np.ndarray, far: bool) -> None:
-    """Logarithm of the chosen outcome's share of each row, in blocks of rows."""
-    block, ones = 512, np.ones(len(vectors), np.float32)
+_BLOCK = np.arange(512)
+
+
+def _log_softmax(h: np.ndarray, vectors: np.ndarray, chosen: np.ndarray, out: np.ndarray, far: bool, ones: np.ndarray | None = None) -> None:
+    """Logarithm of the chosen outcome's share of each row, in blocks of rows. ``ones`` may be given where many calls share them."""
+    block, ones = len(_BLOCK), np.ones(len(vectors), np.float32) if ones is None else ones[: len(vectors)]
     for i in range(0, len(h), block):
         logits = h[i : i + block] @ vectors.T
-        told = logits[np.arange(len(logits)), chosen[i : i + block]]
+        told = logits[_BLOCK[: len(logits)], chosen[i : i + block]]
         if far:
             top = logits.max(axis=1)
             logits -= top[:, None]
@@ -381,21 +407,22 @@ def read_parts(docs: DataFrame, vocabulary: Vocabulary, end_known: bool = True,
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
-        log_count = np.log10(words.count + 1)
+        share = np.log10(words.count + 1) - base
+        share[0] = 0  # words outside the head count later
         for b in batches:
             text, of, found = b.num_rows, *_split(b.column("text"))
             number = pc.fill_null(pc.index_in(found, value_set=words.words), -1).to_numpy(zero_copy_only=False) + 1  # 0: outside the head
             symbols, outside = words.symbol[number], np.flatnonzero(number == 0)
             coded = found.take(pa.array(outside)).dictionary_encode()
             code, unknown = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
-            symbols[outside] = np.array([word_class(w.encode("utf-8", "surrogatepass")) for w in unknown.to_pylist()], np.int64)[code]
+            symbols[outside] = _classes(unknown)[code]
             pair, times = np.unique(of[outside] * max(len(unknown), 1) + code, return_counts=True)
             edges = np.searchsorted(pair, np.arange(text + 1) * max(len(unknown), 1)).astype(np.int32)
             of_text = lambda values, edges=edges: pa.ListArray.from_arrays(pa.array(edges), values)
             tails = of_text(unknown.cast(pa.string()).take(pa.array(pair % max(len(unknown), 1)))), of_text(pa.array(times.astype(np.int32)))
             n = np.bincount(of, minlength=text)
-            known = np.bincount(of[number > 0], minlength=text)
-            scores = np.bincount(of, weights=np.where(number > 0, log_count[number] - base, 0.0), minlength=text) + end_base
+            known = n - np.bincount(of[outside], minlength=text)
+            scores = np.bincount(of, weights=share[number], minlength=text) + end_base
             row, part, packed = [], [], []
             ends = np.cumsum(n)
             for k in range(text):
@@ -433,7 +460,7 @@ def train_parts(parts: DataFrame, vocabulary: Vocabulary, unigram: np.ndarray) -
     model = Model(unigram, vocabulary.grouped())
     spark = parts.sparkSession
     own = parts.select("key", "part", "symbols")
-    positions = own.agg(F.coalesce(F.sum(F.length("symbols") / 3 - CONTEXT), F.lit(0.0)).cast("long")).first()[0]
+    positions = parts.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     shards = max(1, math.ceil(positions / (ROUNDS * SHARE)))
     turn_of, shard_of = shard(ROUNDS, shards)
     schema = "copy long, name string, at int, row binary, value binary, uses binary, seen long"
@@ -553,9 +580,13 @@ def score(docs: DataFrame) -> DataFrame:
     texts = parts.select("rid", "symbols").mapInPandas(of, "rid long, score double")
     first = parts.filter("part = 0")
     rest = first.select("rid", F.explode(F.arrays_zip("words", "times")).alias("x")).select("rid", F.col("x.words").alias("word"), "x.times")
+    # Counts are dealt into hash tables of a size that follows from the distinct words, which spares sorting all rare words as text.
+    # No word is frequent here, so all parts are alike.
+    dealt = max(1, math.ceil(v / KEYS), math.ceil((n - ends - pc.sum(head["n"], min_count=0).as_py()) / PAIRS))
+    found = counts.repartition(dealt, "word").hint("shuffle_hash")
     c = F.coalesce("n", F.lit(0))
     of_class = F.element_at(F.array(*[F.lit(float(x)) for x in room]), _of_class(F.col("word")) + 1)
-    tails = rest.join(counts, "word", "left").select(
+    tails = rest.repartition(dealt, "word").join(found, "word", "left").select(
         "rid", F.when(c > 0, F.col("times").cast("long")).otherwise(0).alias("n_known"), (F.col("times") * (F.log10(c + 1) - base)).alias("base_score"),
         (F.col("times") * F.log10((c + 1) / of_class)).alias("score"),
     )

@@ -373,3 +373,27 @@ def test_words_are_counted_and_chosen_in_columns(spark, docs):
     words = neural_lm.Vocabulary(head)
     assert (words.words.to_pylist(), words.count.tolist(), words.symbol.tolist()) == (["a", "b"], [0, 302, 2], [0, 1, 2])
     assert neural_lm.head_words(counts.limit(0)).num_rows == 0
+
+
+def test_classes_of_many_words():
+    words = ["a", "ab", "abc", "\u00e9", "\u00e9a", "\u4e2d\u6587", "\U0001f600", "\x00", "\x00b", "z" * 300]
+    column = pa.array(["cut", *words, "off"], pa.large_string()).slice(1, len(words))
+    assert neural_lm._classes(column).tolist() == [neural_lm.word_class(w.encode()) for w in words]
+    assert neural_lm._classes(column.slice(0, 0)).tolist() == []
+
+
+def test_rare_words_are_looked_up_without_sorting_them(spark, docs, monkeypatch):
+    """Text is hashed, in parts whose number follows from the words; the result is that of one part."""
+    rng = random.Random(4)
+    df = docs(*[" ".join([prose(rng, 20), *(f"rare{rng.randrange(400)}" for _ in range(30))]) for _ in range(40)], None, "")
+    monkeypatch.setattr(neural_lm, "HEAD", 50)
+    monkeypatch.setattr(neural_lm.head_words, "__defaults__", (50,))
+    rows = lambda: {r["doc_id"]: r for r in neural_lm.score(df).collect()}
+    one = rows()
+    monkeypatch.setattr(neural_lm, "KEYS", 100)
+    several = rows()
+    assert all((r["n_known"], r["n_tokens"]) == (several[k]["n_known"], several[k]["n_tokens"]) for k, r in one.items())
+    assert all(several[k][x] == pytest.approx(r[x], rel=1e-9) for k, r in one.items() for x in ("base_score", "score"))
+    plan = neural_lm.score(df)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert "hashpartitioning(word" in plan and "REPARTITION_BY_NUM" in plan
