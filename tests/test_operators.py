@@ -263,3 +263,11 @@ def test_assembly_in_parts(spark, rows):
     assert sorted(r.part for r in parts) == list(range(20)) and sum(r.n for r in parts) == n and max(r.n for r in parts) <= 100_000
     assert len(got) == 1020 and all(r.parts == 1 and r.n == 1 for r in got if r.s != "hot")
     assert out.filter("s = 'hot'").agg(F.count_distinct(F.col("low"))).first()[0] == 20
+
+
+def test_unit_metrics_are_counted_from_stored_steps(tables, bodies):
+    """Behind the last step no link table of sessions or items is joined again: their shuffles are gone."""
+    text = metrics.unit_metrics(tables, bodies)._jdf.queryExecution().optimizedPlan().toString()
+    read = [x for x in text.splitlines() if "LocalRelation" in x or "LogicalRDD" in x or "Relation [" in x]
+    assert not any("session_uri" in x and "item_uri" in x for x in read) and not any("handling_uri" in x for x in read), text
+    assert text.count("Join") <= 3, text

@@ -1,6 +1,7 @@
 """Bounds of what one task holds, and what is set down between steps."""
 
 import os
+import time
 
 from pyspark.sql import functions as F
 
@@ -41,3 +42,27 @@ def test_equal_quads_are_left_out_by_one_sort(spark, rows):
     assert sorted(map(str, found.collect())) == sorted(map(str, many.distinct().collect()))
     text = final_plan(found).split("== Initial Plan ==")[0]
     assert text.count("Exchange ") == 1 and text.count("Sort [") == 1 and "Aggregate" not in text
+
+
+def _shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+
+def test_a_stored_step_leaves_no_shuffle_files(spark):
+    kept = spark.conf.get(runtime.SHUFFLE_CLEANUP)
+    df = spark.range(200_000).groupBy(F.md5(F.col("id").cast("string")).alias("k")).count()
+    before = _shuffle_files(spark)
+    assert runtime.stored(df).count() == 200_000
+    deadline = time.time() + 20
+    while _shuffle_files(spark) > before and time.time() < deadline:
+        time.sleep(0.2)
+    assert _shuffle_files(spark) <= before and spark.conf.get(runtime.SHUFFLE_CLEANUP) == kept
+
+
+def test_passing_tables_go_with_their_block(spark):
+    with runtime.passing(spark) as keep:
+        df = keep(spark.range(10))
+        place = os.path.dirname(df.inputFiles()[0].removeprefix("file://"))
+        assert df.count() == 10 and os.path.exists(place)
+    assert not os.path.exists(place)
