@@ -271,3 +271,23 @@ def test_unit_metrics_are_counted_from_stored_steps(tables, bodies):
     read = [x for x in text.splitlines() if "LocalRelation" in x or "LogicalRDD" in x or "Relation [" in x]
     assert not any("session_uri" in x and "item_uri" in x for x in read) and not any("handling_uri" in x for x in read), text
     assert text.count("Join") <= 3, text
+
+
+def test_an_ordered_digest_streams(spark, rows):
+    """The values of a key are never held as one: batches of three rows, keys that begin and end within them."""
+    import hashlib
+
+    from graphreports.operators.resources import ordered_digest
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        many = [("b", f"v\u00e9{i}") for i in range(100)] + [("a", "z"), ("a", None), ("c", "y"), ("c", "x"), (None, "n"), ("d", None)]
+        out = ordered_digest(rows("k string, v string", *many), "k", "v")
+        digest = lambda *v: hashlib.md5(" ".join(sorted(v, key=str.encode)).encode()).hexdigest()
+        want = {"a": digest("z"), "b": digest(*[v for k, v in many if k == "b"]), "c": digest("x", "y"), None: digest("n")}
+        assert {r.k: r.digest for r in out.collect()} == want
+        text = out._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list" not in text and "Aggregate" not in text
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
