@@ -97,3 +97,10 @@ def test_reports_are_computed_once_when_written(spark, tmp_path):
         assert seen.value == 10 * turn
     assert spark.read.parquet(str(tmp_path / "r")).count() == 10
     assert [p.name for p in tmp_path.iterdir()] == ["r"]
+
+
+def test_reports_join_metrics_that_are_set_down(run):
+    """No report holds the shuffles that metrics and decisions come from."""
+    for report in (reports.publication_count_report, reports.governing_body_count_report, reports.admin_unit_count_report, reports.decision_report):
+        text = report(run)._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_orderkey" not in text and "o_orderkey" not in text.split("best")[0], report.__name__
